@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import q_bpe
+from quillstone.llm import q_bpe, q_html, q_media
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": q_bpe.op1_byte_bpe,
+    "op2_media_columns": q_media.op2_media_columns,
+    "op8_html_main_text": q_html.op8_html_main_text,
 }
 
 ORACLES: dict[str, str] = {}
