@@ -2,8 +2,8 @@
 
 The label table has one toxicity flag, so the chain's categories are graded from it: `insult` (flagged, with a word that
 the sample ties to the flag), `repeated_insult` (two such words or more) and `toxic` (flagged), in this order. Each model
-is a logistic regression over the words of a text and the probabilities of the categories before it; those probabilities
-are out-of-fold predictions in training, and the earlier models' own predictions afterwards.
+is a logistic regression over the words and word stems of a text and the probabilities of the categories before it; a stem
+is the first four or five letters of a longer word, so inflected forms share a feature. Those probabilities are out-of-fold predictions in training, and the earlier models' own predictions afterwards.
 
 The models are fitted on a bounded sample of labelled rows (SAMPLE rows, half of each label as far as there are enough,
 first by a hash of the id). The threshold is chosen on out-of-fold predictions, weighted to the true shares of the labels.
@@ -34,8 +34,14 @@ FOLDS, L2 = 4, 1.0
 _WORD = re.compile(r"\w+")
 
 
+#: Lengths of stems; a stem ends in STEM, which is in no word.
+STEMS, STEM = (4, 5), "-"
+
+
 def words(text: str | None) -> set[str]:
-    return set(_WORD.findall((text or "").lower()))
+    """Distinct words and stems of the whole text."""
+    whole = set(_WORD.findall((text or "").lower()))
+    return whole.union(*({w[:n] + STEM for w in whole if len(w) > n} for n in STEMS))
 
 
 def sigmoid(x):
