@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import q_bpe, q_exact_dedup, q_html, q_language, q_licenses, q_media, q_mixing, q_toxicity
+from quillstone.llm import q_bpe, q_exact_dedup, q_html, q_language, q_licenses, q_media, q_mixing, q_pii, q_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": q_bpe.op1_byte_bpe,
     "op2_media_columns": q_media.op2_media_columns,
     "op3_exact_dedup": q_exact_dedup.op3_exact_dedup,
     "op4_toxicity_chain": q_toxicity.op4_toxicity_chain,
+    "op5_pii_boosted": q_pii.op5_pii_boosted,
     "op6_golden_mix": q_mixing.op6_golden_mix,
     "op7_language_bitmask": q_language.op7_language_bitmask,
     "op8_html_main_text": q_html.op8_html_main_text,
