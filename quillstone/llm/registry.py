@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import q_bpe, q_exact_dedup, q_html, q_language, q_licenses, q_media, q_mixing, q_pii, q_toxicity
+from quillstone.llm import q_bpe, q_exact_dedup, q_html, q_language, q_licenses, q_media, q_mixing, q_ngram_join, q_pii, q_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": q_bpe.op1_byte_bpe,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_golden_mix": q_mixing.op6_golden_mix,
     "op7_language_bitmask": q_language.op7_language_bitmask,
     "op8_html_main_text": q_html.op8_html_main_text,
+    "op9_ngram_jaccard": q_ngram_join.op9_ngram_jaccard,
     "op10_license_scan": q_licenses.op10_license_scan,
 }
 
