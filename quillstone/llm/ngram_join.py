@@ -292,7 +292,7 @@ def links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     by_part = pairs.withColumn("part", F.explode(F.array(*map(F.lit, range(PARTS)))))
     left = sets.select(F.col("cid").alias("a"), "part", F.col("tokens").alias("left"))
     right = sets.select(F.col("cid").alias("b"), "part", F.col("tokens").alias("right"))
-    partial = by_part.join(left, ["a", "part"]).join(right, ["b", "part"]).select("a", "b", "n", "m", F.size(F.array_intersect("left", "right")).cast("long").alias("partial"))
+    partial = by_part.join(left, ["a", "part"]).join(right, ["b", "part"]).select("a", "b", "n", "m", "part", F.size(F.array_intersect("left", "right")).cast("long").alias("partial"))
     # a repeated row repeats its parts, so each part counts once; a pair has PARTS of them at most
     counted = partial.groupBy("a", "b", "n", "m").agg(F.collect_set(F.struct("part", "partial")).alias("parts"))
     summed = counted.withColumn("shared", F.aggregate("parts", F.lit(0).cast("long"), lambda total, p: total + p["partial"]))
