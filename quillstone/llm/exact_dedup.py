@@ -106,6 +106,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dig
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns."""
     kept = classes(docs, id_col, text_col).where("kept").select(F.col("id").alias("kept_id"), F.col("digest").alias("kept_digest"))
-    whole = docs.withColumns({"kept_as": F.struct(F.col(id_col).alias("id"), sha256(normalised(text_col)).alias("digest"))})
-    joined = whole.join(kept, F.col("kept_as.id").eqNullSafe(F.col("kept_id")) & (F.col("kept_as.digest") == F.col("kept_digest")), "left_semi")
-    return joined.dropDuplicates(["kept_as"]).drop("kept_as")
+    # each row goes as one struct, so its columns may have any names
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), sha256(normalised(text_col)).alias("digest"))
+    joined = whole.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("digest") == F.col("kept_digest")), "left_semi")
+    return joined.dropDuplicates(["id", "digest"]).select("row.*")

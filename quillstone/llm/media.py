@@ -2,8 +2,8 @@
 
 A payload is stored as mono 8-bit PCM, one sample a byte. Reading back gives the same bytes. A short-time Fourier
 transform of the samples gives log-power levels, rounded to integers so that equal payloads give equal peaks; in each
-band of a frame the strongest bin is a peak if it is not below its neighbours in time; each peak is paired with the next
-few peaks in time. A fingerprint is two aligned arrays: the frame of the first peak, and a code of (bin, bin, distance).
+band of a frame the strongest bin is a peak if it is not below its neighbours in time (a plateau counts once, at its
+end); each peak is paired with the next few peaks in time. A fingerprint is two aligned arrays: the frame of the first peak, and a code of (bin, bin, distance).
 
 Defined cases: null bytes are stored as no bytes; an empty recording has no peaks; long recordings are transformed in
 blocks of frames, so memory does not follow their length; repeated rows each give a row; an empty table gives an empty one.

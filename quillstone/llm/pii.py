@@ -247,8 +247,10 @@ def spans(docs: DataFrame, trees: Trees | None, id_col: str = "doc_id", text_col
 
 def redact(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "*") -> DataFrame:
     """docs with the code points of all found spans replaced by `mask`; ids must be unique. Spans may overlap."""
-    chars = F.split(F.coalesce(F.col(text_col), F.lit("")), "")
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    chars = F.split(F.coalesce("text", F.lit("")), "")
     covered = F.array_distinct(F.flatten(F.transform("all", lambda s: F.sequence(s["start"], s["end"] - 1))))
     places = F.map_from_entries(F.transform(covered, lambda k: F.struct(k, F.lit(True))))
-    hidden = F.when(F.size("all") == 0, F.col(text_col)).otherwise(F.array_join(F.transform(chars, lambda c, k: F.when(F.coalesce(places[k.cast("long")], F.lit(False)), F.lit(mask)).otherwise(c)), ""))
-    return docs.join(found.select(F.col(id_col).alias("found_id"), "all"), F.col(id_col).eqNullSafe(F.col("found_id"))).withColumn(text_col, hidden).select(*docs.columns)
+    hidden = F.when(F.size("all") == 0, F.col("text")).otherwise(F.array_join(F.transform(chars, lambda c, k: F.when(F.coalesce(F.try_element_at(places, k.cast("long")), F.lit(False)), F.lit(mask)).otherwise(c)), ""))
+    joined = whole.join(found.select(F.col(id_col).alias("found_id"), "all"), F.col("id").eqNullSafe(F.col("found_id")))
+    return joined.select(F.col("row").withField(f"`{text_col}`", hidden).alias("row")).select("row.*")

@@ -16,8 +16,9 @@ def op6_golden_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs as the mix takes them: a row for each whole time that its words are taken, rounded; documents not taken go."""
     times = mixing.mix(docs).where("size > 0").groupBy("doc_id").agg(F.max(F.round(F.col("taken") / F.col("size"))).cast("int").alias("times"))
-    joined = docs.join(times.where("times > 0").withColumnRenamed("doc_id", "of"), F.col("doc_id").eqNullSafe(F.col("of")))
-    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"))
+    joined = whole.join(times.where("times > 0"), F.col("id").eqNullSafe(F.col("doc_id")))
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy")).select("row.*")
 
 
 def oracle() -> str:

@@ -16,4 +16,5 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_representatives(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs with one document of each group, the one with the smallest id."""
     stay = ngram_join.join(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("stays"))
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("stays")), "left_semi")
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"))
+    return whole.join(stay, F.col("id").eqNullSafe(F.col("stays")), "left_semi").select("row.*")
