@@ -34,6 +34,7 @@ SIGMA, RADIUS = 1.0, 2
 PIECE = 1 << 16
 _KERNEL = np.exp(-np.arange(-RADIUS, RADIUS + 1) ** 2 / (2 * SIGMA**2))
 _WORD = re.compile(r"[a-z]+")
+_CUT = re.compile(r"<[A-Za-z/!?][^<>]*$")
 
 
 def is_furniture(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> bool:
@@ -82,9 +83,9 @@ class Lines(HTMLParser):
         if tag in ("article", "main") and not furniture and (region < 0 or self.kinds[region] == "main" and tag == "article"):
             region = len(self.kinds)
             self.kinds.append(tag)
-        inside = region >= 0
-        furniture = furniture or is_furniture(tag, attrs, inside)
-        hidden = hidden or tag in HIDDEN
+        own = is_furniture(tag, attrs, region >= 0)
+        furniture = furniture or own
+        hidden = hidden or tag in HIDDEN or own and not block  # furniture inside a line isn't a line
         if block or hidden or (tag, hidden, furniture, region)[1:] != self.open[-1][1:]:
             self.open.append((tag, hidden, furniture, region))
 
@@ -99,8 +100,6 @@ class Lines(HTMLParser):
         self.tags += 1
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k][0] == tag:
-                if self.open[k][1:] != self.open[k - 1][1:]:
-                    self.flush() if tag in BLOCKS else None
                 del self.open[k:]
                 break
             if tag not in BLOCKS and self.open[k][0] in BLOCKS:
@@ -108,13 +107,8 @@ class Lines(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if not self.open[-1][1]:
-            if self.held and self.open[-1][2] != self.mark:
-                self.flush()
-            self.mark = self.open[-1][2]
             self.held.append(data)
 
-    mark = False
-
 
 def smoothed(ratios: np.ndarray) -> np.ndarray:
     """Gaussian smoothing; at the ends the kernel is cut and weighed anew."""
@@ -140,6 +134,7 @@ def threshold(values: np.ndarray) -> float:
 def main_text(html: str | None) -> str:
     if not html:
         return ""
+    html = _CUT.sub("", html)  # a page cut off in a tag
     parser = Lines()
     for at in range(0, len(html), PIECE):
         parser.feed(html[at : at + PIECE])
