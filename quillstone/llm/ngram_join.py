@@ -9,11 +9,11 @@ count. The order is cut into fragments, and work is done per fragment:
    are never paired), and its prefix, the first n - ceil(0.75 n) + 1 shingles in the order, which two linked sets share.
 3. Candidates. Rare prefix shingles are packed by fragment; in a fragment, lists are short (fewer than the border) and all
    pairs that pass the length and positional filters are candidates. The long lists of frequent shingles give stars only:
-   each member with two members of the list.
+   each member with a few members of the list.
 4. Overlaps. The full sets of candidates are cut into PARTS fragments; each counts its partial overlap of a pair, and the
    partial overlaps are summed per pair. Pairs with Jaccard similarity of 0.75 or more are links; links form components.
-5. What stars miss. Lists that hold several components give stars around other members, then all pairs between different
-   components, with the same filters. Pairs inside a component can't change it and aren't made.
+5. What stars miss. Lists that hold several components give stars around other and more members, then all pairs between
+   different components, with the same filters. Pairs inside a component can't change it and aren't made.
 
 So no link between different sets is lost, and no group is expanded into its pairs.
 
@@ -39,11 +39,11 @@ from quillstone.llm.shingles import SIZE, shingles
 
 NUMERATOR, DENOMINATOR = 3, 4  # similarity of 0.75
 FREQUENT, MAX_FREQUENT = 8, 1 << 20
-PARTS = 4
-#: Rounds of stars before all remaining pairs are made.
-STARS = 2
+PARTS = 2
+#: Centres of the stars in each round before all remaining pairs are made; few while much is apart, more for stragglers.
+STARS = (2, 8, 32, 128)
 #: Shingles that a task holds before it packs them.
-HELD = 4_000_000
+HELD = 2_000_000
 #: Ids of this many documents may be broadcast (16 bytes each); beyond it the texts are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -252,12 +252,22 @@ def may_link(one: str, other: str) -> Column:
     return (F.col(f"{one}.cid") != F.col(f"{other}.cid")) & (NUMERATOR * F.greatest(n, m) <= DENOMINATOR * F.least(n, m)) & (most >= least_overlap(n, m))
 
 
-def stars(lists: DataFrame, salt: int) -> DataFrame:
-    """Candidates: each member of a list (token, x = struct of cid, n, at; label) with two members picked by a hash."""
-    place = F.xxhash64("x.cid", "token" if salt else F.lit(0), F.lit(salt))
-    centres = lists.groupBy("token").agg(F.min(F.struct(place.alias("place"), "x", "label")).alias("low"), F.max(F.struct(place.alias("place"), "x", "label")).alias("high"))
-    centres = centres.select("token", F.explode(F.array("low", "high")).alias("centre")).select("token", F.col("centre.x").alias("y"), F.col("centre.label").alias("other"))
-    return lists.join(centres, "token").where((F.col("label") != F.col("other")) & may_link("x", "y")).select(*pair_of("x", "y")).distinct()
+def open_lists(lists: DataFrame) -> DataFrame:
+    """The lists (token, x, label) that hold more than one component."""
+    several = lists.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token")
+    return lists.join(several, "token", "left_semi")
+
+
+def stars(lists: DataFrame, centres: int, salt: int) -> DataFrame:
+    """Candidates: each member of a list (token, x = struct of cid, n, at; label) with `centres` members picked by a hash.
+
+    Members fall into `centres` classes by the hash, and the least of each class is a centre; it is an aggregate, so a
+    long list shrinks in each task before the shuffle.
+    """
+    place = F.xxhash64("x.cid", F.lit(salt))
+    picked = lists.groupBy("token", F.pmod(place, F.lit(centres)).alias("kind")).agg(F.min(F.struct(place.alias("place"), "x", "label")).alias("centre"))
+    picked = picked.select("token", F.col("centre.x").alias("y"), F.col("centre.label").alias("other"))
+    return lists.join(picked, "token").where((F.col("label") != F.col("other")) & may_link("x", "y")).select(*pair_of("x", "y")).distinct()
 
 
 def part_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
@@ -338,15 +348,19 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     _tidy(docs)
 
     labels = None
-    for k in range(STARS + 2):
-        named = lists.withColumn("label", F.col("x.cid")) if labels is None else lists.join(labels.withColumnRenamed("cid", "of"), F.col("x.cid") == F.col("of"), "left").select("token", "x", F.coalesce("label", "x.cid").alias("label"))
-        if k <= STARS:
-            made = stars(named, k)
+    for k in range(len(STARS) + 1):
+        if labels is None:
+            named = lists.withColumn("label", F.col("x.cid"))
+        else:
+            named = lists.join(labels.withColumnRenamed("cid", "of"), F.col("x.cid") == F.col("of"), "left").select("token", "x", F.coalesce("label", "x.cid").alias("label"))
+            named = space.keep(open_lists(named), f"open-{k}")
+            if named.isEmpty():
+                break
+        if k < len(STARS):
+            made = stars(named, STARS[k], k)
         else:
-            mixed_ = named.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token")
-            open_ = space.keep(named.join(mixed_, "token", "left_semi"), "open")
-            other = open_.select("token", F.col("x").alias("y"), F.col("label").alias("other"))
-            made = open_.join(other, "token").where((F.col("label") < F.col("other")) & may_link("x", "y")).select(*pair_of("x", "y")).distinct()
+            other = named.select("token", F.col("x").alias("y"), F.col("label").alias("other"))
+            made = named.join(other, "token").where((F.col("label") < F.col("other")) & may_link("x", "y")).select(*pair_of("x", "y")).distinct()
         pairs = space.keep(made.unionByName(rare).distinct() if k == 0 else made, f"pairs-{k}")
         found = space.keep(links(pairs, sets), f"links-{k}")
         space.drop(f"pairs-{k}")
