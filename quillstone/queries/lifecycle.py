@@ -13,6 +13,7 @@ from quillstone.operators import changes, keyvalue, metrics, privacy, retention,
 from quillstone.plans.query import DocQuery
 from quillstone.queries.common import Query, table
 from quillstone.queries.filters import _PLACES, away, places
+from quillstone.sources.catalog import Collection, Database
 from quillstone.sources.files import to_document, value_kind
 from quillstone.streaming import watch, windows
 
@@ -218,6 +219,73 @@ def window_tumbling(spark: SparkSession, d: str) -> DataFrame:
     return windows.tumbling(table(spark, d, "events"), "ts", "6 hours", F.count("*").alias("n"), by=("event_type",)).select("start", "event_type", "n")
 
 
+@register("window_sliding", "SELECT start, count(*) AS n FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts) - to_hours(k) AS start FROM events, (VALUES (0), (1), (2)) t(k)) GROUP BY 1")
+def window_sliding(spark: SparkSession, d: str) -> DataFrame:
+    return windows.sliding(table(spark, d, "events"), "ts", "3 hours", "1 hour", F.count("*").alias("n")).select("start", "n")
+
+
+@register("window_session", "SELECT user_id, count(*) AS n, max(width) AS longest FROM (SELECT user_id, run, count(*) AS width FROM (SELECT user_id, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY 1, 2) GROUP BY 1")
+def window_session(spark: SparkSession, d: str) -> DataFrame:
+    own = windows.sessions(table(spark, d, "events"), "ts", "30 minutes", F.count("*").alias("width"), by=("user_id",))
+    return own.groupBy("user_id").agg(F.count("*").alias("n"), F.max("width").alias("longest"))
+
+
+def _database(spark: SparkSession, d: str) -> Collection:
+    """nation in a database of its own: inserted, then rows updated and deleted."""
+    db = Database(spark, f"{_shared(spark)}/database-{uuid.uuid4().hex}")
+    rows = table(spark, d, "nation")
+    own = db.create("nation", "n_nationkey", rows.schema)
+    own.insert(rows)
+    own.update(rows.where("n_nationkey < 3").withColumn("n_name", F.concat(F.lit("new "), F.col("n_name"))))
+    own.delete([5, 7, 99])
+    own.create_index("by_region", "n_regionkey")
+    return own
+
+
+@register("catalog_writes", "SELECT n_nationkey, CASE WHEN n_nationkey < 3 THEN 'new ' || n_name ELSE n_name END AS n_name, n_regionkey FROM nation WHERE n_nationkey NOT IN (5, 7)")
+def catalog_writes(spark: SparkSession, d: str) -> DataFrame:
+    return _database(spark, d).frame()
+
+
+@register("catalog_range", "SELECT n_nationkey, n_regionkey FROM nation WHERE n_regionkey BETWEEN 1 AND 3 AND n_nationkey NOT IN (5, 7) ORDER BY n_regionkey DESC, n_nationkey OFFSET 2 LIMIT 8")
+def catalog_range(spark: SparkSession, d: str) -> DataFrame:
+    return _database(spark, d).range("n_regionkey", 1, 3, ascending=False, skip=2, take=8).select("n_nationkey", "n_regionkey")
+
+
+@register("unique_violations", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 15")
+def unique_violations(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n")).where("n > 15")
+
+
+@register("kv_purged", f"SELECT count(*) AS n, CAST(sum(seq) AS BIGINT) AS seqs FROM (SELECT k.*, e.seq FROM {_KV} k JOIN (SELECT 'user:' || user_id AS key, max(event_id) AS seq FROM events GROUP BY 1) e USING (key))")
+def kv_purged(spark: SparkSession, d: str) -> DataFrame:
+    return keyvalue.purge(_kv(spark, d), F.lit(_now(spark, d))).agg(F.count("*").alias("n"), F.sum("seq").alias("seqs"))
+
+
+@register("retention_policy", "SELECT event_id FROM (SELECT event_id, ts FROM events WHERE ts >= (SELECT max(ts) - INTERVAL 24 HOUR FROM events) ORDER BY ts DESC, event_id DESC LIMIT 300)")
+def retention_policy(spark: SparkSession, d: str) -> DataFrame:
+    policy = retention.Policy("ts", dt.timedelta(hours=24), 300)
+    return retention.apply(table(spark, d, "events"), policy, _now(spark, d), "event_id").select("event_id")
+
+
+@register("slow_queries", "SELECT event_type AS type, count(*) AS n FROM events WHERE event_type = 'purchase' AND floor(value * 100) >= 1000 GROUP BY 1")
+def slow_queries(spark: SparkSession, d: str) -> DataFrame:
+    log = _event_log(spark, d).withColumn("type", F.when(F.col("type") == "purchase", "query").otherwise(F.col("type")))
+    return metrics.slow(log, 1000).groupBy(F.lit("purchase").alias("type")).agg(F.count("*").alias("n"))
+
+
+@register("stream_state", None)
+def stream_state(spark: SparkSession, d: str) -> DataFrame:
+    """Number and last time of each id's changes, kept by a stateful stream."""
+    root = f"{_shared(spark)}/stream-state-{uuid.uuid4().hex}"
+    watch.publish(_change_log(spark, d).withColumn("collection", F.lit("users")), f"{root}/log")
+    log = spark.read.parquet(f"{root}/log")
+    counted = spark.readStream.schema(log.schema).parquet(f"{root}/log").groupBy("id").agg(F.count("*").alias("n"), F.max("ts").alias("last"))
+    query = counted.writeStream.outputMode("complete").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{root}/out")).start()
+    query.awaitTermination()
+    return spark.read.parquet(f"{root}/out")
+
+
 @register("stream_changes", None)
 def stream_changes(spark: SparkSession, d: str) -> DataFrame:
     """A log read as a stream by one subscriber, masked on the way, into a table."""
