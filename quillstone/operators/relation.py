@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions.predicates import decided
+from quillstone.sources.shared import kept
 
 
 def column(c: str | Column) -> Column:
@@ -103,12 +104,13 @@ class Relation:
         """Rows with their place in the order, from 0.
 
         Rows are dealt by ranges of the order and counted per range; a range's own rows are numbered inside it. Only the
-        counts, one a partition, are summed in one place.
+        counts, one a partition, are summed in one place. The ranges come from a sample, so the dealt rows are written
+        first: dealt twice, they could fall differently.
         """
         if not self._total():
             raise ValueError("positions need an order or a key")
         dealt = self.df.repartitionByRange(*self._total()).sortWithinPartitions(*self._total())
-        marked = dealt.withColumn("_at", F.monotonically_increasing_id())  # partition number << 33 | row in partition
+        marked = kept(dealt.withColumn("_at", F.monotonically_increasing_id()), "numbered")  # partition number << 33 | row in partition
         marked = marked.withColumns({"_part": F.shiftright("_at", 33), "_row": F.col("_at").bitwiseAND((1 << 33) - 1)}).drop("_at")
         counts = marked.groupBy("_part").agg(F.count("*").alias("_n"))
         before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")).alias("_before"))

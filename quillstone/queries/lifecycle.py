@@ -15,6 +15,7 @@ from quillstone.queries.common import Query, table
 from quillstone.queries.filters import _PLACES, away, places
 from quillstone.sources.catalog import Collection, Database
 from quillstone.sources.files import to_document, value_kind
+from quillstone.sources.shared import shared_root
 from quillstone.streaming import watch, windows
 
 QUERIES: dict[str, tuple[Query, str | None]] = {}
@@ -232,7 +233,7 @@ def window_session(spark: SparkSession, d: str) -> DataFrame:
 
 def _database(spark: SparkSession, d: str) -> Collection:
     """nation in a database of its own: inserted, then rows updated and deleted."""
-    db = Database(spark, f"{_shared(spark)}/database-{uuid.uuid4().hex}")
+    db = Database(spark, f"{shared_root(spark)}/database-{uuid.uuid4().hex}")
     rows = table(spark, d, "nation")
     own = db.create("nation", "n_nationkey", rows.schema)
     own.insert(rows)
@@ -277,7 +278,7 @@ def slow_queries(spark: SparkSession, d: str) -> DataFrame:
 @register("stream_state", None)
 def stream_state(spark: SparkSession, d: str) -> DataFrame:
     """Number and last time of each id's changes, kept by a stateful stream."""
-    root = f"{_shared(spark)}/stream-state-{uuid.uuid4().hex}"
+    root = f"{shared_root(spark)}/stream-state-{uuid.uuid4().hex}"
     watch.publish(_change_log(spark, d).withColumn("collection", F.lit("users")), f"{root}/log")
     log = spark.read.parquet(f"{root}/log")
     counted = spark.readStream.schema(log.schema).parquet(f"{root}/log").groupBy("id").agg(F.count("*").alias("n"), F.max("ts").alias("last"))
@@ -289,19 +290,9 @@ def stream_state(spark: SparkSession, d: str) -> DataFrame:
 @register("stream_changes", None)
 def stream_changes(spark: SparkSession, d: str) -> DataFrame:
     """A log read as a stream by one subscriber, masked on the way, into a table."""
-    root = f"{_shared(spark)}/stream-changes-{uuid.uuid4().hex}"
+    root = f"{shared_root(spark)}/stream-changes-{uuid.uuid4().hex}"
     log = _change_log(spark, d).withColumn("collection", F.lit("users"))
     watch.publish(log, f"{root}/log")
     seen = watch.changes(spark, f"{root}/log", log.schema, changes.Watch(exclude=("event_type",)), ["value"], "users")
     watch.to_table(seen, f"{root}/out", f"{root}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{root}/out")
-
-
-def _shared(spark: SparkSession) -> str:
-    import tempfile
-
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="quillstone-shared-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")

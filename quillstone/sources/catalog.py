@@ -1,7 +1,8 @@
 """A database of named collections, each a Parquet table under one folder, with its catalog entry.
 
-Writes make a new version of a collection beside the old one and then move the pointer, so readers and failed writes
-never see half of one. Columns that an index would serve are sort columns of the files: their min/max statistics prune.
+A collection is a list of parts (folders). An insert adds a part; an update or a delete rewrites the parts that hold the
+rows. Parts are written beside the old ones before the catalog entry names them, so readers and failed writes never see
+half of one. Columns that an index would serve are sort columns of the files: their min/max statistics prune.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import types as T
 
 from quillstone.operators.relation import Relation
 from quillstone.plans.query import DocQuery
+from quillstone.sources.shared import kept
 
 
 class DuplicateKey(ValueError):
@@ -26,11 +28,12 @@ class DuplicateKey(ValueError):
 
 @dataclass
 class Entry:
-    """Of a collection: version, key, schema versions (JSON), indexes (name -> columns, unique, kind), retention, series field."""
+    """Of a collection: version, key, parts, schema versions (JSON), indexes (name -> columns, unique, kind), retention, series field."""
 
     name: str
     key: str
     version: int = 0
+    parts: list[str] = field(default_factory=list)
     schemas: list[str] = field(default_factory=list)
     indexes: dict[str, dict] = field(default_factory=dict)
     retention: dict | None = None
@@ -101,19 +104,19 @@ class Database:
             entry = self.entry(one)
             own._commit(entry, own.frame(), sort=True)
             for status in self.fs.listStatus(self._path(one)):
-                if status.getPath().getName() != f"v{entry.version}":
+                if status.getPath().getName() not in entry.parts:
                     self.fs.delete(status.getPath(), True)
 
     def backup(self, target: str) -> DataFrame:
         """Copies all collections and returns the manifest (file, bytes, sha256), which is written beside them."""
         for name in self.collections():
-            entry = self.entry(name)
-            self[name].frame().write.mode("overwrite").parquet(f"{target}/{name}/v{entry.version}")
+            for part in self.entry(name).parts:
+                self.spark.read.parquet(f"{self.root}/{name}/{part}").write.mode("overwrite").parquet(f"{target}/{name}/{part}")
         other = Database(self.spark, target)
         for name in self.collections():
             other._save(self.entry(name))
         files = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(target)
-        manifest = files.select(F.regexp_replace("path", r"^.*?([^/]+/v\d+/[^/]+)$", "$1").alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+        manifest = files.select(F.regexp_replace("path", r"^.*?([^/]+/part\d+/[^/]+)$", "$1").alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
         manifest.write.mode("overwrite").json(f"{target}/_manifest")
         return self.spark.read.schema("file string, bytes bigint, sha256 string").json(f"{target}/_manifest")
 
@@ -127,20 +130,32 @@ class Collection:
         return self.db.entry(self.name).key
 
     def frame(self) -> DataFrame:
-        entry = self.db.entry(self.name)
-        return self.db.spark.read.schema(T.StructType.fromJson(json.loads(entry.schemas[-1]))).parquet(f"{self.db.root}/{self.name}/v{entry.version}")
-
-    def _commit(self, entry: Entry, df: DataFrame, sort: bool = False) -> None:
-        schema = json.dumps(json.loads(df.schema.json()), sort_keys=True)
-        if not entry.schemas or entry.schemas[-1] != schema:
-            entry.schemas.append(schema)
+        return self._read(self.db.entry(self.name))
+
+    def _read(self, entry: Entry, parts: list[str] | None = None) -> DataFrame:
+        """Rows of all parts or some; columns that a part lacks are null."""
+        own = self.db.spark.read.schema(T.StructType.fromJson(json.loads(entry.schemas[-1])))
+        return own.parquet(*(f"{self.db.root}/{self.name}/{p}" for p in (entry.parts if parts is None else parts)))
+
+    def _commit(self, entry: Entry, df: DataFrame, replaced: list[str] | None = None, schema: T.StructType | None = None, sort: bool = False) -> None:
+        """Writes df as a new part, in place of the parts in `replaced` (all by default)."""
+        text = json.dumps(json.loads((schema or df.schema).json()), sort_keys=True)
+        if not entry.schemas or entry.schemas[-1] != text:
+            entry.schemas.append(text)
         order = [c for i in entry.indexes.values() for c in i["columns"]]
         if sort and order:
             df = df.repartitionByRange(*order[:1]).sortWithinPartitions(*order)
         entry.version += 1
-        df.write.mode("overwrite").parquet(f"{self.db.root}/{self.name}/v{entry.version}")
+        part = f"part{entry.version}"
+        df.write.mode("overwrite").parquet(f"{self.db.root}/{self.name}/{part}")
+        entry.parts = [*([] if replaced is None else [p for p in entry.parts if p not in replaced]), part]
         self.db._save(entry)
 
+    def _holding(self, entry: Entry, ids: DataFrame) -> list[str]:
+        """The parts in which any of the ids is; only keys are read."""
+        found = self._read(entry).select(entry.key, F.regexp_extract(F.input_file_name(), r"/(part\d+)/[^/]*$", 1).alias("_in"))
+        return [r["_in"] for r in found.join(ids, entry.key, "left_semi").select("_in").distinct().collect()]
+
     def schema_version(self) -> int:
         return len(self.db.entry(self.name).schemas)
 
@@ -180,30 +195,34 @@ class Collection:
         return self.scan(predicate).count()
 
     # writes
-    def _check(self, entry: Entry, df: DataFrame) -> None:
+    def _check(self, entry: Entry, new: DataFrame, old: DataFrame | None = None) -> None:
+        """Fails on keys or unique values that are twice in `new`, or in `new` and `old`. Reads only those columns."""
         unique = [[entry.key], *(i["columns"] for i in entry.indexes.values() if i["unique"])]
         for columns in unique:
-            known = df.where(" AND ".join(f"`{c}` IS NOT NULL" for c in columns)) if columns != [entry.key] else df
+            known = new.where(" AND ".join(f"`{c}` IS NOT NULL" for c in columns)) if columns != [entry.key] else new
             if (twice := known.groupBy(*columns).count().where("count > 1").first()) is not None:
                 raise DuplicateKey(f"{self.name}: {columns} {[twice[c] for c in columns]} more than once")
+            if old is not None and (there := known.select(*columns).join(old.select(*columns), columns, "left_semi").first()) is not None:
+                raise DuplicateKey(f"{self.name}: {columns} {list(there)} exists")
 
     def insert(self, rows: DataFrame) -> None:
-        """Appends. Columns that the collection lacks are added (a new schema version); those that rows lack are null."""
-        entry = self.db.entry(self.name)
-        rows = rows.withColumn(entry.key, F.coalesce(F.col(entry.key), F.uuid())) if dict(rows.dtypes).get(entry.key) == "string" else rows
-        new = self.frame().unionByName(rows, allowMissingColumns=True)
-        self._check(entry, new)
-        self._commit(entry, new)
+        """Appends a part. Columns that the collection lacks are added (a new schema version); those that rows lack are null."""
+        entry, old = self.db.entry(self.name), self.frame()
+        rows = kept(rows.withColumn(entry.key, F.coalesce(F.col(entry.key), F.uuid())), "inserted") if dict(rows.dtypes).get(entry.key) == "string" else rows
+        whole = old.limit(0).unionByName(rows, allowMissingColumns=True)
+        self._check(entry, whole, whole.limit(0).unionByName(old, allowMissingColumns=True))
+        self._commit(entry, whole, [], whole.schema)
 
     def update(self, rows: DataFrame) -> int:
-        """Replaces rows by key; returns how many there were."""
+        """Replaces rows by key; returns how many there were. Parts without any of them stay as they are."""
         entry, old = self.db.entry(self.name), self.frame()
         found = rows.join(old.select(entry.key), entry.key, "left_semi")
         n = found.count()
         if n:
-            new = old.join(found.select(entry.key), entry.key, "left_anti").unionByName(found, allowMissingColumns=True)
-            self._check(entry, new)
-            self._commit(entry, new)
+            parts = self._holding(entry, found.select(entry.key))
+            rest = old.join(found.select(entry.key), entry.key, "left_anti")
+            self._check(entry, found.select(*old.columns), rest)
+            self._commit(entry, self._read(entry, parts).join(found.select(entry.key), entry.key, "left_anti").unionByName(found.select(*old.columns)), parts)
         return n
 
     def delete(self, ids: Sequence | DataFrame) -> int:
@@ -211,7 +230,8 @@ class Collection:
         gone = ids if isinstance(ids, DataFrame) else self.db.spark.createDataFrame([(i,) for i in ids], T.StructType([old.schema[entry.key]]))
         n = old.join(gone, entry.key, "left_semi").count()
         if n:
-            self._commit(entry, old.join(gone, entry.key, "left_anti"))
+            parts = self._holding(entry, gone)
+            self._commit(entry, self._read(entry, parts).join(gone, entry.key, "left_anti"), parts)
         return n
 
     def truncate(self) -> int:
