@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import sqrt
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,21 +19,39 @@ def _sum(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda total, x: total + x)
 
 
+#: Up to this length, sums over a given vector are written out, which stays in generated code; beyond it they loop.
+WRITTEN_OUT = 256
+
+
+def _checked(a: Column, size: Column, total: Column) -> Column:
+    return F.when(F.size(a) == size, total).otherwise(F.raise_error("vectors of different lengths").cast("double"))
+
+
+def _over(a: Column, b: Column | Sequence[float], term) -> Column:
+    """The sum of term(x, y) over two vectors, in order; fails on lengths that differ, as that means nothing."""
+    if isinstance(b, Column):
+        return _checked(a, F.size(b), _sum(F.zip_with(_vector(a), _vector(b), term)))
+    values = [float(y) for y in b]
+    if len(values) > WRITTEN_OUT:
+        return _checked(a, F.lit(len(values)), _sum(F.zip_with(_vector(a), _vector(values), term)))
+    total = F.lit(0.0)
+    for k, y in enumerate(values):
+        total = total + term(F.get(a, F.lit(k)).cast("double"), F.lit(y))
+    return _checked(a, F.lit(len(values)), total)
+
+
 def dot(a: Column, b: Column | Sequence[float]) -> Column:
-    """Fails on lengths that differ, as a product of such vectors means nothing."""
-    x, y = _vector(a), _vector(b)
-    product = _sum(F.zip_with(x, y, lambda p, q: p * q))
-    return F.when(F.size(x) == F.size(y), product).otherwise(F.raise_error("vectors of different lengths").cast("double"))
+    return _over(a, b, lambda x, y: x * y)
 
 
 def l2_squared(a: Column, b: Column | Sequence[float]) -> Column:
-    x, y = _vector(a), _vector(b)
-    return F.when(F.size(x) == F.size(y), _sum(F.zip_with(x, y, lambda p, q: (p - q) * (p - q)))).otherwise(F.raise_error("vectors of different lengths").cast("double"))
+    return _over(a, b, lambda x, y: (x - y) * (x - y))
 
 
 def norm(a: Column | Sequence[float]) -> Column:
-    v = _vector(a)
-    return F.sqrt(_sum(F.transform(v, lambda x: x * x)))
+    if not isinstance(a, Column):
+        return F.lit(sqrt(sum(float(x) ** 2 for x in a)))
+    return F.sqrt(_sum(F.transform(_vector(a), lambda x: x * x)))
 
 
 def cosine_distance(a: Column, b: Column | Sequence[float]) -> Column:
