@@ -20,7 +20,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import lower_ascii
+from quillstone.llm.common import Workspace, lower_ascii
 
 # Phrases with their labels, and opening words of public licenses.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -118,6 +118,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
         F.array_sort(F.array_compact(F.array(*(F.when(c > 0, F.lit(label)) for (c, _, _), label in zip(base, PHRASES.values()))))).alias("base_labels"),
         windows.alias("blocks"),
     )
+    found = Workspace(spark, "licenses").keep(found, "found")  # the row number must not change between the two uses below
     keys = ["row", "id", "n_words", "n_base", "first_word", "last_word", "base_labels"]
     blocks = found.where("size(blocks) > 0").select("row", F.posexplode("blocks").alias("block", "held"))
     blocks = blocks.select("row", "block", F.array_intersect(ordered, "held").alias("held"))  # in the global order
