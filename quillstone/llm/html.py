@@ -34,6 +34,7 @@ SIGMA, RADIUS = 1.0, 2
 PIECE = 1 << 16
 _KERNEL = np.exp(-np.arange(-RADIUS, RADIUS + 1) ** 2 / (2 * SIGMA**2))
 _WORD = re.compile(r"[a-z]+")
+_STATE = re.compile(r"(?:has|with|no|without)[-_][a-z]+")  # a wrapper that has a sidebar isn't one
 _CUT = re.compile(r"<[A-Za-z/!?][^<>]*$")
 
 
@@ -41,7 +42,7 @@ def is_furniture(tag: str, attrs: list[tuple[str, str | None]], in_article: bool
     if tag in FURNITURE and not (tag == "header" and in_article):
         return True
     for name, value in attrs:
-        if name in ("class", "id") and value and not NAMES.isdisjoint(_WORD.findall(value.lower())) or name == "role" and value and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
+        if name in ("class", "id") and value and not NAMES.isdisjoint(_WORD.findall(_STATE.sub("", value.lower()))) or name == "role" and value and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
             return tag not in ("html", "body", "article", "main")
     return False
 

@@ -37,6 +37,7 @@ def test_full_page():
         ("<article><p>one</p><!-- <p>no</p> --><script>x</script><p>two</article>", "one\ntwo"),
         ("<article><div>a<div>b</div>c</div></article>", "a\nb\nc"),
         ("<article>x<span class='ad'>ad</span>y</article>", "xy"),
+        ("<div class='page has-sidebar with_menu'><article><p>body text</p></article></div>", "body text"),
         ("<ARTICLE><P>Upper</P></ARTICLE>", "Upper"),
     ],
     ids=str,
