@@ -83,7 +83,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dig
     state = space.keep(stream_state(space, arrivals, "arrivals"), "classes")
     space.drop("state", "checkpoint")
 
-    hits = arrivals.join(state.where("n > 1").select("digest"), "digest", "left_semi").select("id", "digest").distinct()
+    hits = arrivals.join(state.where("n > 1").select("digest"), "digest", "left_semi").select("id", "digest")
     texts = docs.select(F.col(id_col).alias("id"), digest(low).alias("digest"), low.alias("low"))
     same = texts.join(hits.select(F.col("id").alias("of"), F.col("digest").alias("by")), F.col("id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("by")), "left_semi")
     checked = same.groupBy("digest").agg(F.min("low").alias("least"), F.max("low").alias("most"))
