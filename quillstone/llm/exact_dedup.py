@@ -40,14 +40,21 @@ def normalised(text_col: str) -> Column:
     return lower_ascii(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
 
-def stream_state(space: Workspace, arrivals: DataFrame, name: str) -> DataFrame:
-    """Runs the arrivals table through the stream until all of it is seen; returns the state: digest, stays, n."""
+def stream_state(space: Workspace, arrivals: DataFrame, name: str, files_per_batch: int | None = None) -> DataFrame:
+    """Runs the arrivals table through the stream until all of it is seen; returns the state: digest, stays, n.
+
+    The state outlives the run: called again with the same space, after files were added to the table, it takes only the
+    new ones in. files_per_batch bounds what a batch takes.
+    """
     spark = space.spark
     before = {k: spark.conf.get(k, None) for k in STATE}
     for k, v in STATE.items():
         spark.conf.set(k, v)
     try:
-        seen = spark.readStream.schema(arrivals.schema).parquet(space.path(name))
+        reader = spark.readStream.schema(arrivals.schema)
+        if files_per_batch:
+            reader = reader.option("maxFilesPerTrigger", files_per_batch)
+        seen = reader.parquet(space.path(name))
         state = seen.groupBy("digest").agg(F.max(F.struct("id", "row", "locator")).alias("stays"), F.count("*").alias("n"))
 
         def write(changed: DataFrame, epoch: int) -> None:  # repeating an epoch writes the same folder again

@@ -34,6 +34,26 @@ def test_collisions_are_parted_by_bytes(spark):
     check(rows, texts, list(range(len(texts))))
 
 
+def test_state_over_batches_and_runs(spark):
+    """One file a batch; later arrivals find earlier state, and their changes replace it."""
+    space = exact_dedup.Workspace(spark, "batches")
+
+    def add(rows):
+        df = spark.createDataFrame([(i, d.encode(), k, "f") for k, (i, d) in enumerate(rows)], "id bigint, digest binary, row bigint, locator string")
+        df.coalesce(1).write.mode("append").parquet(space.path("arrivals"))
+        return df
+
+    add([(1, "a"), (2, "b")])
+    arrivals = add([(3, "a"), (4, "c")])
+
+    def state():
+        return {bytes(r["digest"]).decode(): (r["stays"]["id"], r["n"]) for r in exact_dedup.stream_state(space, arrivals, "arrivals", 1).collect()}
+
+    assert state() == {"a": (3, 2), "b": (2, 1), "c": (4, 1)}
+    add([(9, "b"), (0, "a")])
+    assert state() == {"a": (3, 3), "b": (9, 2), "c": (4, 1)}
+
+
 def test_rows_that_stay(spark):
     df = table(spark, ["x", "X", "y", None, "", "y"], [1, 2, 3, 4, 5, 3])
     left = exact_dedup.deduplicate(df)
