@@ -41,19 +41,19 @@ def by_count(df: DataFrame, n: int, key: str, timestamp: str | None = None) -> D
     return df.orderBy(*_newest_first(timestamp, key)).limit(n)
 
 
-def by_bytes(df: DataFrame, limit: int, size: Column, key: str, timestamp: str | None = None, parts: int = 256) -> DataFrame:
+def by_bytes(df: DataFrame, limit: int, size: Column, key: str, timestamp: str | None = None) -> DataFrame:
     """The newest rows whose sizes sum to at most `limit`.
 
     Sizes are summed per range of the order first; then running sums are taken inside ranges, so no task has all rows.
     The ranges come from a sample, so the dealt rows are written first: dealt twice, they could fall differently.
     """
     order = _newest_first(timestamp, key)
-    dealt = df.withColumn("_size", size).repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    dealt = df.withColumn("_size", size).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
     dealt = kept(dealt, "retention")
     sums = dealt.groupBy("_part").agg(F.sum("_size").alias("_sum"))
     before = sums.select("_part", (F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_sum")).alias("_before"))
     inside = F.sum("_size").over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    newest = dealt.withColumn("_run", inside).join(F.broadcast(before), "_part").where(F.col("_before") + F.col("_run") <= limit)  # before: `parts` rows
+    newest = dealt.withColumn("_run", inside).join(F.broadcast(before), "_part").where(F.col("_before") + F.col("_run") <= limit)  # before: a row per partition
     return newest.select(*df.columns)
 
 
