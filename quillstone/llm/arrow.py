@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import from_arrow_type
 
+from quillstone.llm.common import spread
+
 #: Rows that are turned into Python objects at once.
 SLICE = 256
 
@@ -19,7 +21,7 @@ def ddl(fields: list[pa.Field]) -> str:
 def map_rows(df: DataFrame, columns: list[str], fields: list[pa.Field], make: Callable[[], Callable[..., tuple]]) -> DataFrame:
     """columns[0] unchanged, then the fields that the function `make()` returns gives for the values of columns[1:].
 
-    `make` runs once a task, so tables and models are set up there. No shuffle.
+    `make` runs once a task, so tables and models are set up there. No shuffle, but for small inputs: see spread().
     """
     key = df.select(columns[0]).schema[0]
 
@@ -31,5 +33,5 @@ def map_rows(df: DataFrame, columns: list[str], fields: list[pa.Field], make: Ca
                 made = [row(*values) for values in zip(*(c.to_pylist() for c in part.columns[1:]))]
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([m[k] for m in made], f.type) for k, f in enumerate(fields))], names=["key", *(f.name for f in fields)])
 
-    picked = df.select(*(df[c].alias(f"in{k}") for k, c in enumerate(columns)))
+    picked = spread(df.select(*(df[c].alias(f"in{k}") for k, c in enumerate(columns))))
     return picked.mapInArrow(run, f"key {key.dataType.simpleString()}, {ddl(fields)}").withColumnRenamed("key", columns[0])

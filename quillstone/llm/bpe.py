@@ -20,6 +20,9 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.llm.arrow import ddl
+from quillstone.llm.common import spread
+
 #: Pre-tokens whose ids a worker remembers; the memory is emptied when full, so it stays bounded.
 REMEMBERED = 200_000
 
@@ -121,16 +124,10 @@ Finish = tuple[list[pa.Field], Callable[[list[int], bytes], tuple]]
 IDS_AND_BYTES: Finish = ([pa.field("ids", pa.list_(pa.int32())), pa.field("decoded", pa.binary())], lambda ids, raw: (ids, raw))
 
 
-def _ddl(fields: list[pa.Field]) -> str:
-    from pyspark.sql.pandas.types import from_arrow_type
-
-    return ", ".join(f"`{f.name}` {from_arrow_type(f.type).simpleString()}" for f in fields)
-
-
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", finish: Finish = IDS_AND_BYTES) -> DataFrame:
     """Encodes each text and decodes its ids. Returns id_col and what `finish` makes of ids and decoded bytes, by default both.
 
-    One pass without a shuffle; a worker holds an Arrow batch of texts and one document's ids at a time.
+    One pass without a shuffle (but for small inputs: see spread()); a worker holds an Arrow batch of texts and one document's ids at a time.
     """
     fields, made = finish
     kind = docs.select(id_col).schema[0].dataType
@@ -144,7 +141,8 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
                 columns = [pa.array([r[k] for r in rows], f.type) for k, f in enumerate(fields)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["id", *(f.name for f in fields)])
 
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind.simpleString()}, {_ddl(fields)}")
+    picked = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")))
+    out = picked.mapInArrow(run, f"id {kind.simpleString()}, {ddl(fields)}")
     return out.withColumnRenamed("id", id_col)
 
 

@@ -21,6 +21,24 @@ def lower_ascii(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+#: Bytes of input up to which spread() deals rows anew.
+SMALL = 256 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deals the rows of a few small files to all cores: a file of one row group is one task, however many cores wait.
+
+    Only names and sizes of the files are looked at. Larger inputs, and those of as many files as cores, stay as they are.
+    """
+    spark = df.sparkSession
+    jvm, cores, files = spark._jvm, spark.sparkContext.defaultParallelism, df.inputFiles()
+    if not files or len(files) >= cores:
+        return df
+    paths = [jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f)) for f in files]
+    conf = spark._jsc.hadoopConfiguration()
+    return df.repartition(cores) if sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in paths) <= SMALL else df
+
+
 class Workspace:
     """Written tables in the shared folder. Cuts lineage so that a lost executor costs one stage, not the whole job."""
 

@@ -20,7 +20,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import Workspace, lower_ascii
+from quillstone.llm.common import Workspace, lower_ascii, spread
 
 # Phrases with their labels, and opening words of public licenses.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -86,7 +86,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
 
     score: the largest part of a matched template that a block contains; 1 where a phrase stands; else 0.
     """
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, spread(docs.select(id_col, text_col))
     everything = sorted({w for _, t in templates for w in t.split()})
     counts = document_counts(docs, everything, text_col)
     order = {w: k for k, w in enumerate(sorted(everything, key=lambda w: (counts[w], w)))}

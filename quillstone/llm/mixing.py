@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import Workspace
+from quillstone.llm.common import Workspace, spread
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -35,7 +35,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 def sizes(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """id, source, size (words) and place (hash that shuffles)."""
-    return docs.select(
+    return spread(docs.select(id_col, source_col, text_col)).select(
         F.col(id_col).alias("id"),
         F.col(source_col).alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
