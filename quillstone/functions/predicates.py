@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -89,3 +89,16 @@ def field(path: str | Column) -> Field:
 def negate(predicate: Column) -> Column:
     """Two-valued: what isn't true is."""
     return ~decided(predicate)
+
+
+class Fields:
+    """Fields(df).name is field("name"), for the columns that df has; names compare without case."""
+
+    def __init__(self, df: DataFrame):
+        self._columns = {c.lower(): c for c in df.columns}
+
+    def __getattr__(self, name: str) -> Field:
+        own = self.__dict__.get("_columns", {}).get(name.lower())
+        if own is None:
+            raise AttributeError(f"no column {name}")
+        return Field(F.col(f"`{own}`"))

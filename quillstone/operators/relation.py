@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, replace
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +32,16 @@ class Relation:
     def where(self, predicate: Column) -> Relation:
         return replace(self, df=self.df.where(decided(predicate)))
 
+    def where_rows(self, predicate: Callable[[dict], bool], *columns: str) -> Relation:
+        """Rows that a Python function accepts, for what no expression can say; it sees `columns`, or all. Goes by Arrow batches."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                seen = batch.select(list(columns)) if columns else batch
+                yield batch.filter(pa.array([bool(predicate(r)) for r in seen.to_pylist()], pa.bool_()))
+
+        return replace(self, df=self.df.mapInArrow(run, self.df.schema))
+
     def select(self, *columns: str | Column) -> Relation:
         """Rows of an ordered relation are ordered before columns go."""
         return Relation(self.frame().select(*map(column, columns)))

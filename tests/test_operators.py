@@ -66,6 +66,26 @@ def test_sets_and_groups(few):
     assert all(r["own"] == [] for r in gathered.df.where("id < 4").collect())
 
 
+def test_python_predicate_and_fields(few):
+    from quillstone.functions.predicates import Fields
+
+    assert sorted(ids(few.where_rows(lambda r: r["v"] is not None and r["v"] > 5, "v").df)) == [3]
+    by = Fields(few.df)
+    assert few.count(by.G.eq("b") & by.v.between(6, 9)) == 1
+    with pytest.raises(AttributeError):
+        by.nothing
+
+
+def test_ids(spark):
+    from quillstone.functions import ids as make
+
+    df = spark.createDataFrame([(k, NOW + dt.timedelta(seconds=k)) for k in range(50)], "k int, at timestamp")
+    rows = df.select("k", make.object_id(F.col("at")).alias("o"), make.ulid(F.col("at")).alias("u")).orderBy("k").collect()
+    assert [r["o"] for r in rows] == sorted({r["o"] for r in rows}) and all(len(r["o"]) == 24 for r in rows)
+    assert [r["u"] for r in rows] == sorted({r["u"] for r in rows}) and all(len(r["u"]) == 26 for r in rows)
+    assert {r["k"]: r["n"] for r in make.sequence(df, "n", 100, ["k"]).collect()} == {k: 100 + k for k in range(50)}
+
+
 def test_vectors(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [1.0, 1.0]), (4, None)], "id int, v array<double>")
     assert ids(search.nearest(df, "v", [1, 0], 9, "id")) == [1, 3, 2]
@@ -122,6 +142,7 @@ def test_store(spark, tmp_path):
     assert s.get("c", NOW + 2 * hour) == b"4"
     assert s.refresh("a", 2 * hour, NOW) and s.exists("a", NOW + hour)
     assert s.delete("a", NOW) and not s.delete("a", NOW)
+    assert s.get_sliding("c", 9 * hour, NOW, NOW + 5 * hour) == b"4" and s.exists("c", NOW + 4 * hour) and not s.exists("c", NOW + 5 * hour)
     assert s.get_or_set("d", lambda: b"5", NOW) == b"5" and s.get_or_set("d", lambda: b"6", NOW) == b"5"
     assert sorted(ids(s.keys("", NOW), "key")) == ["c", "d"]
     assert s.compact(NOW) > 0 and s.get("c", NOW) == b"4"
