@@ -45,7 +45,7 @@ STARS = (2, 8, 32, 128)
 #: Shingles that a task holds before it packs them.
 HELD = 2_000_000
 #: Ids of this many documents may be broadcast (16 bytes each); beyond it the texts are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+BROADCAST_IDS = 500_000
 
 
 def prefix_length(n: int) -> int:
