@@ -24,7 +24,7 @@ from quillstone.llm.arrow import ddl
 from quillstone.llm.common import spread
 
 #: Pre-tokens whose ids a worker remembers; the memory is emptied when full, so it stays bounded.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 
 
 def byte_characters() -> list[str]:
