@@ -43,7 +43,7 @@ PARTS = 2
 #: Centres of the stars in each round before all remaining pairs are made; few while much is apart, more for stragglers.
 STARS = (2, 8, 32, 128)
 #: Shingles that a task holds before it packs them.
-HELD = 2_000_000
+HELD = 1_500_000
 #: Ids of this many documents may be broadcast (16 bytes each); beyond it the texts are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
