@@ -1,7 +1,8 @@
 """License scan: an exact set-similarity join of text blocks with license templates, and exact phrases.
 
-A block is a line of the text; a line of more than WINDOW words is cut into windows of WINDOW words every half window, so
-each run of half a window of words lies in one block. A block matches a template if it contains CONTAINMENT of the
+The words of the text, whatever their lines, are cut into windows of WINDOW words every half window, so each run of half
+a window of words lies in one block, however it is wrapped. A longer line is a block of its own as well (cut the same way
+if it has more than WINDOW words); a shorter one lies in a window whole. A block matches a template if it contains CONTAINMENT of the
 template's distinct words or more. Template words are ordered by how many documents hold them, rarest first. A matching
 block must hold one of the first m - need + 1 words of the template (prefix filter), at least `need` template words
 (length filter), and enough of them from the shared word on (positional filter); survivors are compared exactly.
@@ -106,7 +107,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     base = [phrase_places(F.col("low"), F.size("words"), p) for p in PHRASES]
     windows = F.when(
         F.arrays_overlap("words", prefix),
-        F.filter(F.flatten(F.transform(F.split("low", r"[\n\r]+"), lambda line: windows_of(words(line)))), lambda w: F.arrays_overlap(w, prefix)),
+        F.filter(F.concat(windows_of(F.col("words")), long_lines(F.col("low"))), lambda w: F.arrays_overlap(w, prefix)),
     )
     found = split.select(
         "id",
@@ -135,8 +136,15 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     )
 
 
-def windows_of(line: Column) -> Column:
-    """The blocks of a line given as words."""
+def windows_of(run: Column) -> Column:
+    """The blocks of a text or line given as words."""
     half = WINDOW // 2
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.size(line) - WINDOW) / half).cast("int")))
-    return F.when(F.size(line) <= WINDOW, F.array(line)).otherwise(F.transform(starts, lambda k: F.slice(line, k * half + 1, WINDOW)))
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.size(run) - WINDOW) / half).cast("int")))
+    return F.when(F.size(run) <= WINDOW, F.array(run)).otherwise(F.transform(starts, lambda k: F.slice(run, k * half + 1, WINDOW)))
+
+
+def long_lines(low: Column) -> Column:
+    """The blocks of the lines that no window of the text need hold; none for a text of one line."""
+    lines = F.split(low, r"[\n\r]+")
+    held = F.filter(F.transform(lines, words), lambda line: F.size(line) > WINDOW // 2)
+    return F.when(F.size(lines) > 1, F.flatten(F.transform(held, windows_of))).otherwise(F.array().cast("array<array<string>>"))

@@ -50,6 +50,42 @@ def test_by_brute_force(spark):
         assert tuple(rows[k])[1:] == brute(text), text and text[:60]
 
 
+MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal"
+BSD = " * Redistribution and use in source and binary forms, with or without\r\n * modification, are permitted provided that the following conditions\r\n * are met:"
+GPL = "# This program is free software: you can redistribute it and/or modify\n#\n# it under the terms of the GNU General Public License as published by"
+SHORT = "Licensed\nunder the\n\nApache License"
+SCATTERED = "all " + "x " * 25 + "rights " + "y " * 25 + "reserved"  # 53 words, so only a block of its own holds the line whole
+
+
+def wrapped_brute(text):
+    """Labels by every window of the text's words and every line of more than half a window."""
+    low = text.lower()
+    half, found = licenses.WINDOW // 2, set()
+    for run in [low, *(x for x in re.split(r"[\n\r]+", low) if len(re.findall(WORD, x)) > half)]:
+        own = re.findall(WORD, run)
+        for k in range(max(0, -(-(len(own) - licenses.WINDOW) // half)) + 1):
+            block = set(own[k * half : k * half + licenses.WINDOW])
+            found |= {label for label, t in licenses.TEMPLATES if len(set(t.split()) & block) >= licenses.need(len(set(t.split())))}
+    return sorted(found)
+
+
+def test_wrapped_headers(spark):
+    filler = "plain words of a file\n" * 40
+    cases = [(MIT, "mit"), (BSD, "bsd"), (GPL, "gpl"), (SHORT, "apache"), ("z " * 20 + "\n" + SCATTERED, "all-rights-reserved")]
+    texts = [before + text + after for text, _ in cases for before, after in (("", ""), (filler, "\n" + filler))]
+    rows = {r["doc_id"]: r for r in licenses.scan(table(spark, texts)).collect()}
+    for k, text in enumerate(texts):
+        assert cases[k // 2][1] in rows[k]["method_labels"] and rows[k]["score"] >= licenses.CONTAINMENT, text[:80]
+        assert rows[k]["method_labels"] == wrapped_brute(text), text[:80]
+
+
+def test_a_run_of_half_a_window_lies_in_a_block(spark):
+    """Wherever it starts and is broken, the longest template is found."""
+    longest = max((t for _, t in licenses.TEMPLATES), key=lambda t: len(t.split())).split()
+    texts = ["w\n" * before + " ".join(longest[:cut]) + "\n" + " ".join(longest[cut:]) + "\nw" * 70 for before, cut in ((b, 1 + b % (len(longest) - 1)) for b in range(0, 100, 3))]
+    assert all(r["score"] == 1.0 for r in licenses.scan(table(spark, texts)).collect())
+
+
 def test_repeated_rows_and_empty(spark):
     rows = licenses.scan(table(spark, ["mit license", "mit license", None], [1, 1, None])).collect()
     assert sorted(r["n_base"] for r in rows) == [0, 1, 1]
