@@ -191,6 +191,12 @@ def text_normalized(spark: SparkSession, d: str) -> DataFrame:
     return ascii_texts.select("doc_id", normalize(F.col("text")).alias("normal"))
 
 
+@register("text_normalized_all", None)
+def text_normalized_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every document, null and non-ASCII texts too. DuckDB has no like of it; tests compare with a brute force."""
+    return table(spark, d, "documents").select("doc_id", normalize(F.col("text")).alias("normal"))
+
+
 @register("text_embedding", "SELECT p_partkey, concat_ws(',', 'p_name:' || trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')), 'p_brand:' || trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', ' ', 'g')), 'p_size:' || p_size) AS text FROM part")
 def text_embedding(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part")

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -114,6 +116,23 @@ def test_text(spark):
     assert [r["e"] for r in one] == ["t:uni code,n:3", "n:3"]
 
 
+def brute_normal(t):
+    plain = (c for c in unicodedata.normalize("NFD", t or "") if unicodedata.category(c) != "Mn")
+    return re.sub(" +", " ", "".join(c.lower() if c.isalpha() else c if c.isdecimal() else " " for c in plain)).strip()
+
+
+def test_all_documents_are_normalized(spark, data, tmp_path):
+    from quillstone.queries import ALL
+
+    query, _ = ALL["text_normalized_all"]
+    own = spark.createDataFrame([(1, "ÀÉî—ß Straße 2½"), (2, None), (3, ""), (4, "日本語、テキスト 😀"), (5, "Привет, мир ٣"), (6, "plain Text"), (None, "e\u0301 \u00a0x")], "doc_id bigint, text string")
+    own.write.parquet(f"{tmp_path}/documents.parquet")
+    for d in (data, str(tmp_path)):
+        want = sorted((str(r["doc_id"]), brute_normal(r["text"])) for r in spark.read.parquet(f"{d}/documents.parquet").collect())
+        got = sorted((str(r["doc_id"]), r["normal"]) for r in query(spark, d).collect())
+        assert got == want
+
+
 def test_retention(spark):
     day = dt.timedelta(days=1)
     df = spark.createDataFrame([(k, NOW - k * day if k else None) for k in range(6)], "id int, at timestamp")
