@@ -26,6 +26,7 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("script style noscript template iframe object svg math head title".split())
 FURNITURE = frozenset("nav header footer aside form menu dialog search button select textarea fieldset label".split())
+IN_HEAD = frozenset("base basefont bgsound command head html link meta noframes noscript script style template title".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 NAMES = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs masthead footer cookie cookies consent gdpr notice notices banner comment comments disqus respond reply replies share sharing social related newsletter subscribe subscription popup modal widget toolbar pagination pager login signup".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
@@ -68,7 +69,16 @@ class Lines(HTMLParser):
         elif self.tags and self.lines and self.tags > 64:
             self.tags = 64
 
+    def leave_head(self, tag: str) -> None:
+        """Closes a head that `tag` (empty for text) can't stand in; its end tag may be omitted."""
+        if tag == "body" or self.open[-1][0] == "head" and tag not in IN_HEAD:
+            for k in range(1, len(self.open)):
+                if self.open[k][0] == "head":
+                    del self.open[k:]
+                    break
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        self.leave_head(tag)
         _, hidden, furniture, region = self.open[-1]
         block = tag in BLOCKS
         if block:
@@ -107,6 +117,8 @@ class Lines(HTMLParser):
                 break  # an inline end tag closes nothing outside its block
 
     def handle_data(self, data: str) -> None:
+        if self.open[-1][0] == "head" and data.strip():
+            self.leave_head("")
         if not self.open[-1][1]:
             self.held.append(data)
 

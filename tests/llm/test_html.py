@@ -46,6 +46,24 @@ def test_cases(page, want):
     assert html.main_text(page) == want
 
 
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ("<head><title>t</title><body><article><p>the text</p></article></body>", "the text"),
+        ("<html><head><meta charset=utf-8><title>t</title><style>p{}</style><body><p>the text", "the text"),
+        ("<head><title>t</title><article><p>the text</p></article>", "the text"),
+        ("<head><title>t</title><main><h1>Head</h1><p>the text", "Head\nthe text"),
+        ("<head><title>t</title>\n bare text", "bare text"),
+        ("<head><title>t</title><noscript><img src=x><p>no</p></noscript><script>no</script><link rel=x><body>yes", "yes"),
+        ("<head><noscript><p>no<body><p>yes", "yes"),
+        ("<head><title>t</title></head><body><p>closed</p></body>", "closed"),
+    ],
+    ids=str,
+)
+def test_head_without_its_end_tag(page, want):
+    assert html.main_text(page) == want
+
+
 def test_without_an_article_the_dense_lines_stay():
     links = "".join(f"<li><a href=/{k}>l{k}</a></li>" for k in range(12))
     text = "<p>" + "A long line of running text that has many words. " * 4 + "</p>"
