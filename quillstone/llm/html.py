@@ -3,8 +3,10 @@
 The standard library's parser is fed in pieces; its events cut the page into lines at block boundaries, each with its
 text, its number of tags and the container it stands in. The text-to-tag ratio of each line is smoothed by a Gaussian
 and split into two clusters by a threshold; lines above it mark the content. The region is the article (or main) element
-that holds most of the marked text; where a page has neither, it is the marked lines themselves. Inside the region only
-lines in menus, headers, footers, sidebars, notices, adverts, forms and reader comments are left out.
+that holds most of the marked text. Inside the region only lines in menus, headers, footers, sidebars, notices, adverts,
+forms and reader comments are left out. A page that has neither is one region; there the marks tell unnamed menus: before
+the first and after the last marked line, lists without a marked line whose text is all links, and lines of two or more
+links and nothing else, are left out too.
 
 Defined cases: null or empty html gives the empty text; a page cut off in a tag gives the text before it; repeated rows
 each give a row; an empty table gives an empty one; a page without any block is one line.
@@ -28,6 +30,7 @@ HIDDEN = frozenset("script style noscript template iframe object svg math head t
 FURNITURE = frozenset("nav header footer aside form menu dialog search button select textarea fieldset label".split())
 IN_HEAD = frozenset("base basefont bgsound command head html link meta noframes noscript script style template title".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+LISTS = frozenset("ul ol dl dir".split())
 NAMES = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs masthead footer cookie cookies consent gdpr notice notices banner comment comments disqus respond reply replies share sharing social related newsletter subscribe subscription popup modal widget toolbar pagination pager login signup".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
 
@@ -49,11 +52,19 @@ def is_furniture(tag: str, attrs: list[tuple[str, str | None]], in_article: bool
 
 
 class Lines(HTMLParser):
-    """Collects lines: text, tags, whether they are page furniture, and the number of their article or main element."""
+    """Collects lines: text, tags, whether they are page furniture, and the number of their article or main element.
+
+    Of each line also the number of its innermost list, how many links it has text of, and whether text stands outside links.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, bool, int]] = []
+        self.links: list[tuple[int, int, bool]] = []
+        self.lists = 0
+        self.within: list[tuple[int, int]] = [(0, -1)]  # depth and number of the open lists
+        self.link = self.linked = 0  # depth of the open link, and links with text in this line
+        self.fresh, self.plain = False, False
         self.kinds: list[str] = []
         self.held: list[str] = []
         self.tags = 0
@@ -64,8 +75,10 @@ class Lines(HTMLParser):
             if text := " ".join("".join(self.held).split()):
                 _, _, furniture, region = self.open[-1]
                 self.lines.append((text, max(1, self.tags), furniture, region))
+                self.links.append((self.within[-1][1], self.linked, self.plain or any(x[0] in HEADINGS for x in self.open)))
                 self.tags = 0
             self.held = []
+            self.linked, self.plain, self.fresh = 0, False, True
         elif self.tags and self.lines and self.tags > 64:
             self.tags = 64
 
@@ -85,8 +98,11 @@ class Lines(HTMLParser):
             self.flush()
             if self.open[-1][0] == "p" or self.open[-1][0] == tag in ("li", "dt", "dd", "tr", "td", "th"):
                 self.open.pop()
+                self.leave()
                 _, hidden, furniture, region = self.open[-1]
         self.tags += 1
+        if tag == "a":
+            self.link, self.fresh = len(self.open), True
         if tag in VOID:
             if tag in ("br", "wbr", "hr"):
                 self.held.append(" " if tag != "wbr" else "")
@@ -99,6 +115,9 @@ class Lines(HTMLParser):
         hidden = hidden or tag in HIDDEN or own and not block  # furniture inside a line isn't a line
         if block or hidden or (tag, hidden, furniture, region)[1:] != self.open[-1][1:]:
             self.open.append((tag, hidden, furniture, region))
+            if tag in LISTS:
+                self.within.append((len(self.open), self.lists))
+                self.lists += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -109,9 +128,12 @@ class Lines(HTMLParser):
         if tag in BLOCKS:
             self.flush()
         self.tags += 1
+        if tag == "a":
+            self.link = 0
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k][0] == tag:
                 del self.open[k:]
+                self.leave()
                 break
             if tag not in BLOCKS and self.open[k][0] in BLOCKS:
                 break  # an inline end tag closes nothing outside its block
@@ -121,6 +143,17 @@ class Lines(HTMLParser):
             self.leave_head("")
         if not self.open[-1][1]:
             self.held.append(data)
+            if not self.link:
+                self.plain = self.plain or any(map(str.isalnum, data))
+            elif self.fresh and data.strip():
+                self.linked, self.fresh = self.linked + 1, False
+
+    def leave(self) -> None:
+        """Forgets links and lists whose element is closed."""
+        if self.link > len(self.open):
+            self.link = 0
+        while self.within[-1][0] > len(self.open):
+            self.within.pop()
 
 
 def smoothed(ratios: np.ndarray) -> np.ndarray:
@@ -171,7 +204,14 @@ def main_text(html: str | None) -> str:
         articles = {r: w for r, w in weight.items() if parser.kinds[r] == "article"} or weight
         best = max(sorted(articles), key=articles.__getitem__)
         return "\n".join(lines[k][0] for k in open_ if lines[k][3] == best)
-    return "\n".join(lines[k][0] for k in open_ if ratio[k] >= border)
+    marked = [k for k in open_ if ratio[k] >= border]
+    no_menus = {parser.links[k][0] for k in open_ if ratio[k] >= border or parser.links[k][2]}
+
+    def is_menu(k: int) -> bool:
+        group, linked, plain = parser.links[k]
+        return not plain and (linked > 1 or linked > 0 and group >= 0) and group not in no_menus - {-1}
+
+    return "\n".join(lines[k][0] for k in open_ if marked[0] <= k <= marked[-1] or not is_menu(k))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:

@@ -71,6 +71,40 @@ def test_without_an_article_the_dense_lines_stay():
     assert got.count("\n") == 5 and "l3" not in got
 
 
+@pytest.mark.parametrize("wrap", ["{}", "<div>{}</div>", "<div class=page><div>{}</div><footer>foot</footer></div>"])
+def test_without_an_article_no_paragraph_is_lost(wrap):
+    """Paragraphs of any lengths and the heading stay, at the ends and in the middle."""
+    for seed in range(50):
+        rng = np.random.default_rng(seed)
+        lines = ["The heading", *(" ".join(f"w{k}" for k in range(1 + int(n))) for n in rng.lognormal(3, 1.2, 20))]
+        inner = f"<h1>{lines[0]}</h1>" + "".join(f"<p>{x}</p>" for x in lines[1:])
+        assert html.main_text(f"<body>{wrap.format(inner)}</body>") == "\n".join(lines), seed
+
+
+LONGER = "<p>" + "many words of running text " * 20 + "</p>"
+
+
+@pytest.mark.parametrize(
+    "before,want",
+    [
+        ("<h1><a href=/>Linked heading</a></h1>", "Linked heading"),
+        ("<ul><li>a short item<li><a href=/>link</a></ul>", "a short item\nlink"),
+        ("<p><a href=/>One link</a></p>", "One link"),
+        ("<ul><li><a href=/>l1</a><li><a href=/>l2</a></ul>", ""),
+        ("<div><a href=/>l1</a> | <a href=/>l2</a></div>", ""),
+        ("<p>See <a href=/>l1</a> and <a href=/>l2</a></p>", "See l1 and l2"),
+        ("<div><a href=/>never closed</div><p>x</p><ul><li>y</ul>", "never closed\nx\ny"),
+        ("<dl><dt>term<dd>meaning</dl><table><tr><td>1<td>2</table>", "term\nmeaning\n1\n2"),
+    ],
+    ids=str,
+)
+def test_without_an_article_only_unnamed_menus_go(before, want):
+    for first in (True, False):
+        got = html.main_text(f"<body>{before}{LONGER * 8}" if first else f"<body>{LONGER * 8}{before}")
+        kept = [x for x in got.split("\n") if not x.startswith("many")]
+        assert "\n".join(kept) == want and got.count("many words of running text many") == 80
+
+
 def test_smoothing_and_threshold():
     values = np.array([1.0, 1.0, 9.0, 9.0])
     assert 1 < html.threshold(values) <= 9
