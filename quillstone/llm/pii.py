@@ -8,6 +8,9 @@ covers the same place; of overlapping proposals the best stays.
 
 The trees are fitted by Spark's ML library on proposals from a bounded sample of documents (SAMPLE_DOCS, first by a hash
 of the id; SAMPLE_SPANS proposals at most); the weak label of a proposal is whether it overlaps a base span of its kind.
+As what is to be selected overlaps none, the marks of the base patterns are masked: no feature sees the "+" of a phone
+number, base e-mails are learnt with "(at)" for the sign, and proposals that may be personal data without a mark teach
+nothing: written addresses, numbers of the form of a labelled phone number, numbers that pass as a card but for separators.
 The fitted trees become column expressions, so scoring is code-generated like any projection. The threshold is the least
 score above which PRECISION of the sample's proposals are labelled. Everything on the way is DataFrame functions.
 
@@ -130,7 +133,7 @@ KEYWORDS = {  # fixed values: words that stand before such data
 
 
 def features(span: Column, left: Column, right: Column, kind: Column) -> dict[str, Column]:
-    number = digits(span)
+    number, left = digits(span), F.regexp_replace(left, r"\+$", "")  # the sign makes a base span, so it is masked
     n = F.length(number)
 
     def many(pattern: str) -> Column:
@@ -148,8 +151,8 @@ def features(span: Column, left: Column, right: Column, kind: Column) -> dict[st
         "groups": F.size(F.filter(F.split(span, "[^0-9]+"), lambda x: x != "")),
         "longest": F.coalesce(F.array_max(F.transform(F.split(span, "[^0-9]+"), F.length)), F.lit(0)),
         "check": F.when(n.between(13, 19), luhn(number)).otherwise(False),
+        "fits": is_base(kind, span),  # digits as its kind has them
         "zero": F.startswith(number, F.lit("0")),
-        "plus": F.endswith(left, F.lit("+")),
         "joined_left": F.rlike(left, F.lit(r"[\p{L}\p{N}_]$")),
         "joined_right": F.rlike(right, F.lit(r"^[\p{L}\p{N}_]")),
         "colon": F.rlike(left, F.lit(r":\s*$")),
@@ -203,15 +206,31 @@ def _nested(node):
     return int(split.featureIndex()), float(split.threshold()), _nested(node.leftChild()), _nested(node.rightChild())
 
 
+def written(email: Column) -> Column:
+    """A base e-mail with its sign written out, every other one with its dots too."""
+    spelt = F.when(F.xxhash64(email) % 2 == 0, F.regexp_replace(email, r"\.(?=[^@]*$)", " (dot) ")).otherwise(email)
+    return F.replace(spelt, F.lit("@"), F.lit(" (at) "))
+
+
+def taught(sample: DataFrame) -> DataFrame:
+    """The sample without proposals that no base span covers, but that may be personal data without its mark."""
+    n = F.length(digits(F.col("span")))
+    shape = F.regexp_replace("span", "[0-9]", "9")
+    known = F.max("label").over(Window.partitionBy("kind", shape)) > 0  # over the sample only
+    may_be = F.when(F.col("kind") == "phone", n.between(8, 15) & known).when(F.col("kind") == "card", is_base(F.lit("card"), F.col("span"))).otherwise(True)
+    return sample.withColumn("may_be", may_be).where(F.col("covered") | ~F.col("may_be"))
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Trees | None:
     """Trees and threshold from a bounded sample of docs, or None where there is nothing to learn."""
     space = Workspace(docs.sparkSession, "pii")
     first = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("picked")).distinct().orderBy(F.xxhash64("picked"), "picked").limit(SAMPLE_DOCS)
     sample = docs.join(F.broadcast(first), F.col(id_col) == F.col("picked"), "left_semi")  # SAMPLE_DOCS ids at most
-    rows = placed(proposals(sample, id_col, text_col)).where(F.col("source").isin(*WIDE))
+    rows = placed(proposals(sample, id_col, text_col)).where(F.col("source").isin(*WIDE) | F.col("base") & (F.col("source") == "email"))
+    rows = rows.withColumn("span", F.when(F.col("source") == "email", written(F.col("span"))).otherwise(F.col("span")))
     made = features(F.col("span"), F.col("left"), F.col("right"), F.col("kind"))
-    data = rows.orderBy(F.xxhash64("id", "start", "kind"), "id", "start", "end", "kind").limit(SAMPLE_SPANS).select(*made.values(), F.col("labelled").cast("double").alias("label"))
-    data = space.keep(data.coalesce(1), "sample")
+    data = rows.orderBy(F.xxhash64("id", "start", "kind"), "id", "start", "end", "kind").limit(SAMPLE_SPANS).select(*made.values(), F.col("labelled").cast("double").alias("label"), "kind", "covered", "span")
+    data = taught(space.keep(data.coalesce(1), "sample"))
     if data.select("label").distinct().count() < 2:
         return None
     names = [f"f_{k}" for k in made]
@@ -222,7 +241,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Tree
     by = Window.orderBy(F.desc("p")).rangeBetween(Window.unboundedPreceding, Window.currentRow)  # over the sample only
     good = scored.withColumn("share", F.avg("label").over(by)).where(F.col("share") >= PRECISION).agg(F.min("p")).first()[0]
     space.drop("sample")
-    trees.border = 2.0 if good is None else float(good)
+    trees.border = 2.0 if good is None else max(0.5, float(good))  # likelier than not by itself, too
     return trees
 
 

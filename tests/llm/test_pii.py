@@ -94,6 +94,16 @@ def test_everything_selected_when_the_border_is_low(spark, trees):
     assert 0 in kinds and len(kinds) == 2
 
 
+def test_spans_without_their_mark_are_selected(spark):
+    """Phones without "+", written-out e-mails and cards with odd separators; no other numbers."""
+    lines = "call +49 (030) 901-8{k:03d} or mail jo.{k}@mail.example.org, card 4111 1111 1111 1111, order {k:03d}2345678901234 on 2024-01-{d:02d}, lot 12/{k}/3456789"
+    extra = ["call 49 (030) 901-8{k:03d}", "mail jo.{k} (at) example (dot) org", "card 4111.1111.1111.1111"]
+    texts = [lines.format(k=k, d=k % 28 + 1) + ("; " + extra[k % 3].format(k=k) if k % 4 == 0 else "") for k in range(120)]
+    trees = pii.fit(table(spark, texts))
+    got = found(spark, [*(x.format(k=7) for x in extra), "order 5552345678901234", "on 2024-01-09", "lot 12/5/3456789"], trees)
+    assert [[k for k, _, _ in got[n][1]] for n in range(6)] == [[3], [0], [2], [], [], []]
+
+
 def test_nothing_to_learn(spark):
     assert pii.fit(table(spark, ["no numbers", None])) is None
     assert pii.fit(table(spark, [])) is None
