@@ -1,19 +1,23 @@
 """N-gram Jaccard self-join by vertical partitioning.
 
-All shingles stand in one global order: those in few documents first (by hash), then the frequent ones by their document
-count. The order is cut into fragments, and work is done per fragment:
-
-1. Document counts. Each task packs its shingles by fragment, 4 bytes each; a fragment counts its own. The frequent ones
-   (in FREQUENT documents or more; at most MAX_FREQUENT, else the border rises) are broadcast, as a table of bounded size.
-2. Records. A document becomes its number of shingles, a class id (hash of its set: equal sets are one class, so copies
-   are never paired), and its prefix, the first n - ceil(0.75 n) + 1 shingles in the order, which two linked sets share.
-3. Candidates. Rare prefix shingles are packed by fragment; in a fragment, lists are short (fewer than the border) and all
-   pairs that pass the length and positional filters are candidates. The long lists of frequent shingles give stars only:
-   each member with a few members of the list.
-4. Overlaps. The full sets of candidates are cut into PARTS fragments; each counts its partial overlap of a pair, and the
-   partial overlaps are summed per pair. Pairs with Jaccard similarity of 0.75 or more are links; links form components.
-5. What stars miss. Lists that hold several components give stars around other and more members, then all pairs between
-   different components, with the same filters. Pairs inside a component can't change it and aren't made.
+All shingles stand in one global order: those in few documents first, by their document count, then the hot ones. The order
+is cut into fragments, and every set with it:
+
+1. Records. A document becomes its number of shingles and its class (two hashes of its set, 128 bits together: equal sets
+   are one class, so copies are never paired). Hot shingles are found on the way: each chunk of a task reports those that
+   are many of its own, and the sums that pass 1 / HOT of all shingles are hot. At most HOT can, so their table may be
+   broadcast at any size of the input.
+2. Counts. Each task packs the other shingles of its classes by ranges of hashes, whose number follows the number of
+   shingles; a range counts its own and answers those held twice or more. What is held once can't be shared. A class thus
+   gets its set in the global order, cut into three fragments: rare, frequent and hot shingles.
+3. Candidates. Two linked sets share one of the first n - ceil(0.75 n) + 1 shingles of both (prefix). The lists of rare
+   shingles have under FREQUENT members, and all their pairs that pass the length and positional filters are candidates.
+   The lists of the others give stars only: each member with a few members of the list.
+4. Overlaps. Each fragment counts its partial overlap of a pair, and the partial overlaps are summed per pair. Pairs with
+   Jaccard similarity of 0.75 or more are links; links form components.
+5. What stars miss. Lists that hold several components give stars around other and more members, then the pairs between
+   different components: lists are cut by length class (linked sets are in the same or the next) and in blocks of BLOCK
+   members, so no task meets more than a block of a list. Pairs inside a component can't change it and aren't made.
 
 So no link between different sets is lost, and no group is expanded into its pairs.
 
@@ -31,6 +35,7 @@ from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,14 +43,17 @@ from quillstone.llm.common import Workspace
 from quillstone.llm.shingles import SIZE, shingles
 
 NUMERATOR, DENOMINATOR = 3, 4  # similarity of 0.75
-FREQUENT, MAX_FREQUENT = 8, 1 << 20
-PARTS = 2
+FREQUENT = 8
+#: Most hot shingles; their table of 12 bytes each is broadcast.
+HOT = 1 << 20
+#: Fragments of a set along the global order.
+PARTS = ("rare", "frequent", "hot")
 #: Centres of the stars in each round before all remaining pairs are made; few while much is apart, more for stragglers.
 STARS = (2, 8, 32, 128)
-#: Shingles that a task holds before it packs them.
-HELD = 1_500_000
-#: Ids of this many documents may be broadcast (16 bytes each); beyond it the texts are joined by a shuffle.
-BROADCAST_IDS = 500_000
+#: Shingles that a task holds before it packs them; shingles of a range of hashes, and of a task that counts ranges.
+HELD, RANGE, DEALT = 1_500_000, 1 << 20, 1 << 22
+#: Ways a hot list is dealt, and members of a block when all remaining pairs are made.
+SALTS, BLOCK = 8, 1024
 
 
 def prefix_length(n: int) -> int:
@@ -57,263 +65,298 @@ def least_overlap(n: Column, m: Column) -> Column:
     return F.ceil(NUMERATOR * (n + m) / (NUMERATOR + DENOMINATOR))
 
 
-def _packed(values: np.ndarray) -> bytes:
-    return values.tobytes()
-
-
 def _tidy(df: DataFrame) -> None:
-    """Lets Spark delete shuffle files that nothing refers to any more."""
+    """Lets Spark delete shuffle files that nothing refers to any more; results don't depend on it."""
     gc.collect()
     df.sparkSession._jvm.System.gc()
 
 
-def document_counts(docs: DataFrame, bits: int, size: int) -> DataFrame:
-    """key (the first 32 + bits bits of a shingle's hash) and n (documents) of the keys in FREQUENT documents or more."""
-    shift = np.uint64(32 - bits)
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(parts: list[np.ndarray]) -> pa.RecordBatch:
-            keys, n = np.unique(np.concatenate(parts), return_counts=True)
-            edges = np.searchsorted(keys, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(32))
-            held = np.flatnonzero(np.diff(edges))
-            low, one = keys.astype(np.uint32), n == 1
-            out = [(int(f), low[a:b], one[a:b], n[a:b]) for f in held for a, b in [(edges[f], edges[f + 1])]]
-            return pa.RecordBatch.from_arrays(
-                [pa.array([f for f, *_ in out], pa.int32()), pa.array([_packed(k[o]) for _, k, o, _ in out], pa.binary()), pa.array([_packed(k[~o]) for _, k, o, _ in out], pa.binary()), pa.array([_packed(c[~o].astype(np.uint32)) for _, _, o, c in out], pa.binary())],
-                names=["fragment", "once", "more", "times"],
-            )
-
-        parts, held = [], 0
-        for batch in batches:
-            for text in batch.column(0):
-                own = shingles(text.as_py(), size)
-                if len(own):
-                    parts.append(own >> shift)
-                    held += len(own)
-                if held >= HELD:
-                    yield rows(parts)
-                    parts, held = [], 0
-        if parts:
-            yield rows(parts)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        for batch in batches:
-            for fragment, once, more, times in zip(*(c.to_pylist() for c in batch.columns)):
-                keys = np.frombuffer(once, np.uint32)
-                of.setdefault(fragment, []).append((np.concatenate((keys, np.frombuffer(more, np.uint32))), np.concatenate((np.ones(len(keys), np.uint32), np.frombuffer(times, np.uint32)))))
-        for fragment, parts in of.items():
-            keys, n = (np.concatenate(x) for x in zip(*parts))
-            order = np.argsort(keys, kind="stable")
-            keys, n = keys[order], n[order]
-            first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-            n = np.add.reduceat(n.astype(np.int64), first)
-            kept = n >= FREQUENT
-            if kept.any():
-                yield pa.RecordBatch.from_arrays([pa.array(keys[first][kept].astype(np.int64) + (fragment << 32)), pa.array(n[kept])], names=["key", "n"])
-
-    packed = docs.select("text").mapInArrow(pack, "fragment int, once binary, more binary, times binary")
-    return packed.repartition("fragment").mapInArrow(count, "key bigint, n bigint")
-
-
-class Order:
-    """The global order: a shingle's rank is 0 if it is rare, else its document count."""
-
-    def __init__(self, keys: np.ndarray, n: np.ndarray, bits: int):
-        order = np.argsort(keys)
-        self.keys, self.n, self.shift = keys[order].astype(np.uint64), n[order].astype(np.uint32), np.uint64(32 - bits)
-
-    def ranks(self, own: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.zeros(len(own), np.uint32)
-        key = own >> self.shift
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.n[at], np.uint32(0))
+def class_of(own: np.ndarray) -> tuple[int, int]:
+    """Two hashes of a set; the second tells different sets with the same first apart."""
+    digest = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
-    def prefix(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rare and frequent shingles of the prefix, each in the order."""
-        k, rank = prefix_length(len(own)), self.ranks(own)
-        rare = own[rank == 0][:k]
-        if len(rare) == k:
-            return rare, own[:0]
-        often, count = own[rank > 0], rank[rank > 0]
-        return rare, often[np.lexsort((often, count))][: k - len(rare)]
 
+def records(docs: DataFrame, size: int) -> DataFrame:
+    """Rows of two kinds: id, n, cid and check of each document (null cid without shingles); key and times of many-times shingles of a chunk."""
+    ddl = "id bigint, n bigint, cid bigint, check bigint, key bigint, times bigint"
 
-def global_order(docs: DataFrame, space: Workspace, bits: int, size: int) -> Order:
-    counted = space.keep(document_counts(docs, bits, size), "frequent")
-    by_size = sorted((r["power"], r["n"]) for r in counted.groupBy(F.floor(F.log2("n")).cast("int").alias("power")).agg(F.count("*").alias("n")).collect())
-    while sum(n for _, n in by_size) > MAX_FREQUENT:
-        by_size.pop(0)
-    border = max(FREQUENT, 1 << by_size[0][0]) if by_size else FREQUENT
-    table = counted.where(F.col("n") >= border).toArrow()
-    space.drop("frequent")
-    return Order(table.column("key").to_numpy(), table.column("n").to_numpy(), bits)
-
-
-def class_of(own: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True)
+    def batch_of(*columns: list | np.ndarray | None) -> pa.RecordBatch:
+        length = next(len(c) for c in columns if c is not None)
+        return pa.RecordBatch.from_arrays([pa.nulls(length, pa.int64()) if c is None else pa.array(c, pa.int64()) for c in columns], names=["id", "n", "cid", "check", "key", "times"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        held: list[np.ndarray] = []
+        total = 0
 
-def records(docs: DataFrame, order: Order, size: int) -> DataFrame:
-    """id, n, cid (class), rare and often (prefix) of each document; without shingles cid is null."""
-    shared = docs.sparkSession.sparkContext.broadcast(order)
+        def many() -> pa.RecordBatch:
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            often = n >= max(2, ceil(2 * total / HOT))
+            return batch_of(None, None, None, None, keys[often].view(np.int64), n[often])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_order = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                n, cid, rare, often = [], [], [], []
+                n, cid, check = [], [], []
                 for text in part.column(1):
                     own = shingles(text.as_py(), size)
+                    first, second = class_of(own) if len(own) else (None, None)
                     n.append(len(own))
-                    cid.append(class_of(own) if len(own) else None)
-                    a, b = own_order.prefix(own)
-                    rare.append(a.view(np.int64))
-                    often.append(b.view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), pa.array(rare, pa.list_(pa.int64())), pa.array(often, pa.list_(pa.int64()))], names=["id", "n", "cid", "rare", "often"])
+                    cid.append(first)
+                    check.append(second)
+                    if first is not None and first not in seen:
+                        seen.add(first)
+                        held.append(own)
+                        total += len(own)
+                    if total >= HELD:
+                        yield many()
+                        held, total = [], 0
+                yield batch_of(part.column(0), n, cid, check, None, None)
+        if held:
+            yield many()
+
+    return docs.select("id", "text").mapInArrow(run, ddl)
+
+
+class Hot:
+    """The hot shingles: sorted keys, and the place of each among them in the global order."""
+
+    def __init__(self, keys: np.ndarray, times: np.ndarray):
+        keys = keys.view(np.uint64)
+        order = np.argsort(keys)
+        self.keys, self.place = keys[order], np.empty(len(keys), np.uint32)
+        self.place[np.lexsort((self.keys, times[order]))] = np.arange(len(keys), dtype=np.uint32)
+
+    def split(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The other shingles, and the hot ones in the global order."""
+        if not len(self.keys):
+            return own, own[:0]
+        at = np.minimum(np.searchsorted(self.keys, own), len(self.keys) - 1)
+        hot = self.keys[at] == own
+        return own[~hot], own[hot][np.argsort(self.place[at[hot]])]
+
 
-    return docs.select("id", "text").mapInArrow(run, "id bigint, n bigint, cid bigint, rare array<bigint>, often array<bigint>")
+def hot_shingles(found: DataFrame, total: int) -> Hot:
+    """Those whose reported times pass total / HOT, of which there are HOT at most, as all times sum to `total` at most."""
+    border = max(FREQUENT, total / HOT)
+    table = found.where("key IS NOT NULL").groupBy("key").agg(F.sum("times").alias("times")).where(F.col("times") >= border).toArrow()
+    return Hot(table.column("key").to_numpy(), table.column("times").to_numpy())
 
 
-def rare_pairs(rows: DataFrame, bits: int) -> DataFrame:
-    """Candidates a < b (classes, with sizes n and m) that share a rare prefix shingle, counted per fragment."""
-    columns = ("fragment", "token", "cid", "n", "at")
-    types = dict(zip(columns[1:], (np.uint64, np.int64, np.uint32, np.uint32)))
+def sets_of(docs: DataFrame, hot: Hot, renamed: frozenset[int], total: int, size: int) -> DataFrame:
+    """cid, n, before, prefix and the three fragments of each class whose prefix holds a shingle that others have too.
+
+    before: shingles that are only in this class, first in the global order; prefix: how many after them are in the prefix.
+    renamed: first hashes that different sets share; their classes go by the second.
+    """
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(hot)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(total / DEALT))
+    bits = max(ceil(log2(parts)) + 2, ceil(log2(max(1, total / RANGE))))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Shingles by range of hashes, with the number in its chunk of the class that has them; and a row of classes for each chunk."""
+        own_hot, task = shared.value, TaskContext.get().partitionId()
         seen: set[int] = set()
-        held: list[tuple[np.ndarray, int, int]] = []
-        total = 0
+        held: list[tuple[int, int, np.ndarray, np.ndarray]] = []
+        total = chunks = 0
 
         def packed() -> pa.RecordBatch:
-            sizes = [len(t) for t, _, _ in held]
-            arrays = {"token": np.concatenate([t for t, _, _ in held]), "cid": np.repeat([c for _, c, _ in held], sizes), "n": np.repeat([n for _, _, n in held], sizes), "at": np.concatenate([np.arange(s) for s in sizes])}
-            order = np.argsort(arrays["token"])
-            arrays = {k: v[order].astype(types[k]) for k, v in arrays.items()}
-            edges = np.searchsorted(arrays["token"] >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+            keys = np.concatenate([x[2] for x in held])
+            refs = np.repeat(np.arange(len(held), dtype=np.uint16), [len(x[2]) for x in held])
+            order = np.argsort(keys)
+            keys, refs = keys[order], refs[order]
+            edges = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
             used = np.flatnonzero(np.diff(edges))
-            return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *(pa.array([_packed(arrays[k][edges[f] : edges[f + 1]]) for f in used], pa.binary()) for k in columns[1:])], names=list(columns))
+            chunk = (task << 32) + chunks
+            classes = np.array([[x[0] for x in held], [x[1] for x in held], [len(x[3]) for x in held]], np.int64)
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array([*used, chunk % (1 << bits)], pa.int32()),
+                    pa.array([chunk] * (len(used) + 1), pa.int64()),
+                    pa.array([*(keys[edges[f] : edges[f + 1]].tobytes() for f in used), np.concatenate([x[3] for x in held]).tobytes()], pa.binary()),
+                    pa.array([*(refs[edges[f] : edges[f + 1]].tobytes() for f in used), None], pa.binary()),
+                    pa.array([*([None] * len(used)), classes.tobytes()], pa.binary()),
+                ],
+                names=["range", "chunk", "keys", "refs", "classes"],
+            )
 
         for batch in batches:
-            for cid, n, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                if cid is None or cid in seen:  # one copy of a class for each task
+            for text in batch.column(0):
+                own = shingles(text.as_py(), size)
+                if not len(own):
+                    continue
+                cid, check = class_of(own)
+                cid = check if cid in renamed else cid
+                if cid in seen:  # one copy of a class for each task
                     continue
                 seen.add(cid)
-                own = tokens.values.to_numpy(zero_copy_only=False).view(np.uint64)
-                if len(own):
-                    held.append((own, cid, n))
-                    total += len(own)
-                if total >= HELD:
+                held.append((cid, len(own), *own_hot.split(own)))
+                total += len(own)
+                if total >= HELD or len(held) == 1 << 16:
                     yield packed()
-                    held, total = [], 0
+                    held, total, chunks = [], 0, chunks + 1
         if held:
             yield packed()
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of: dict[int, list[list[np.ndarray]]] = {}
-        for batch in batches:
-            for fragment, *arrays in zip(*(c.to_pylist() for c in batch.columns)):
-                of.setdefault(fragment, []).append([np.frombuffer(x, types[k]) for k, x in zip(columns[1:], arrays)])
-        for parts in of.values():
-            token, cid, n, at = (np.concatenate(x) for x in zip(*parts))
-            order = np.lexsort((cid, token))
-            token, cid, n, at = token[order], cid[order], n[order].astype(np.int64), at[order].astype(np.int64)
-            fresh = np.concatenate(([True], (token[1:] != token[:-1]) | (cid[1:] != cid[:-1])))
-            token, cid, n, at = token[fresh], cid[fresh], n[fresh], at[fresh]
-            step, found = 1, []
-            while step < len(token) and (same := np.flatnonzero(token[step:] == token[:-step])).size:
-                i, j = same, same + step
-                needed = -(-NUMERATOR * (n[i] + n[j]) // (NUMERATOR + DENOMINATOR))
-                most = 1 + np.minimum(n[i] - 1 - at[i], n[j] - 1 - at[j])
-                good = (NUMERATOR * np.maximum(n[i], n[j]) <= DENOMINATOR * np.minimum(n[i], n[j])) & (most >= needed)
-                found.append(np.column_stack((cid[i[good]], cid[j[good]], n[i[good]], n[j[good]])))
-                step += 1
-            if found:
-                unique = np.unique(np.concatenate(found), axis=0)
-                if len(unique):
-                    yield pa.RecordBatch.from_arrays([pa.array(unique[:, k]) for k in range(4)], names=["a", "b", "n", "m"])
-
-    packed_rows = rows.select("cid", "n", "rare").mapInArrow(pack, "fragment int, token binary, cid binary, n binary, at binary")
-    return packed_rows.repartition("fragment").mapInArrow(pairs, "a bigint, b bigint, n bigint, m bigint").distinct()
-
-
-def pair_of(one: str, other: str) -> list[Column]:
-    """a < b and their sizes from two structs of (cid, n)."""
-    first = F.col(f"{one}.cid") < F.col(f"{other}.cid")
-    return [F.when(first, F.col(f"{x}.{f}")).otherwise(F.col(f"{y}.{f}")).alias(name) for name, x, y, f in (("a", one, other, "cid"), ("b", other, one, "cid"), ("n", one, other, "n"), ("m", other, one, "n"))]
-
-
-def may_link(one: str, other: str) -> Column:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Per range: the shingles that are held twice or more, with their counts, back to their chunks."""
+        for _, rows in _groups(batches):
+            given = [r for r in rows if r["classes"] is None]
+            out = [(r["chunk"], r["keys"], None, None, r["classes"]) for r in rows if r["classes"] is not None]
+            if given:
+                own = [np.frombuffer(r["keys"], np.uint64) for r in given]
+                keys = np.concatenate(own)
+                order = np.argsort(keys, kind="stable")
+                edges = np.flatnonzero(np.concatenate(([True], keys[order][1:] != keys[order][:-1], [True])))
+                n = np.empty(len(keys), np.uint32)
+                n[order] = np.repeat(np.diff(edges), np.diff(edges))
+                at = 0
+                for r, k in zip(given, own):
+                    times = n[at : at + len(k)]
+                    at += len(k)
+                    if (more := times > 1).any():
+                        out.append((r["chunk"], k[more].tobytes(), np.frombuffer(r["refs"], np.uint16)[more].tobytes(), times[more].tobytes(), None))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), *[pa.binary()] * 4))], names=["chunk", "keys", "refs", "times", "classes"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Per chunk: the sets of its classes in the global order."""
+        for _, rows in _groups(batches):
+            base = next(r for r in rows if r["classes"] is not None)
+            cid, n, hots = np.frombuffer(base["classes"], np.int64).reshape(3, -1)
+            hot_keys, hot_at = np.frombuffer(base["keys"], np.int64), np.concatenate(([0], np.cumsum(hots)))
+            given = [r for r in rows if r["classes"] is None]
+            keys, refs, times = (np.concatenate([np.frombuffer(r[name], kind) for r in given] or [np.zeros(0, kind)]) for name, kind in (("keys", np.uint64), ("refs", np.uint16), ("times", np.uint32)))
+            order = np.lexsort((keys, times, refs))
+            keys, refs, times = keys[order].view(np.int64), refs[order], times[order]
+            edges = np.searchsorted(refs, np.arange(len(cid) + 1))
+            rares = edges[:-1] + np.add.reduceat(np.append(times < FREQUENT, False).astype(np.int64), edges[:-1]) * (np.diff(edges) > 0)
+            out = []
+            for k in range(len(cid)):
+                own = keys[edges[k] : edges[k + 1]]
+                before = int(n[k] - len(own) - hots[k])
+                if (prefix := prefix_length(int(n[k])) - before) > 0:
+                    out.append((cid[k], n[k], before, prefix, keys[edges[k] : rares[k]], keys[rares[k] : edges[k + 1]], hot_keys[hot_at[k] : hot_at[k + 1]]))
+            for at in range(0, len(out), 1024):
+                columns = list(zip(*out[at : at + 1024]))
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:4]), *(pa.array(c, pa.list_(pa.int64())) for c in columns[4:])], names=["cid", "n", "before", "prefix", *PARTS])
+
+    packed_rows = docs.select("text").mapInArrow(pack, "range int, chunk bigint, keys binary, refs binary, classes binary").repartition(parts, "range").sortWithinPartitions("range")
+    counted = packed_rows.mapInArrow(count, "chunk bigint, keys binary, refs binary, times binary, classes binary").repartition(parts, "chunk").sortWithinPartitions("chunk")
+    gathered = counted.mapInArrow(gather, "cid bigint, n bigint, before bigint, prefix bigint, " + ", ".join(f"{p} array<bigint>" for p in PARTS))
+    return gathered.dropDuplicates(["cid"])  # a class may be in several chunks
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
+    """Runs of rows with the same first column, of batches sorted by it; one run is held at a time."""
+    key, rows = None, []
+    for batch in batches:
+        for row in batch.to_pylist():
+            of = next(iter(row.values()))
+            if rows and of != key:
+                yield key, rows
+                rows = []
+            key = of
+            rows.append(row)
+    if rows:
+        yield key, rows
+
+
+def may_link(x: Column, y: Column) -> Column:
     """Length and positional filters of two structs of (cid, n, at) that share a shingle."""
-    n, m = F.col(f"{one}.n"), F.col(f"{other}.n")
-    most = 1 + F.least(n - 1 - F.col(f"{one}.at"), m - 1 - F.col(f"{other}.at"))
-    return (F.col(f"{one}.cid") != F.col(f"{other}.cid")) & (NUMERATOR * F.greatest(n, m) <= DENOMINATOR * F.least(n, m)) & (most >= least_overlap(n, m))
+    n, m = x["n"], y["n"]
+    most = 1 + F.least(n - 1 - x["at"], m - 1 - y["at"])
+    return (NUMERATOR * F.greatest(n, m) <= DENOMINATOR * F.least(n, m)) & (most >= least_overlap(n, m))
+
+
+def pair_of(x: Column, y: Column) -> Column:
+    """a < b and their sizes from two structs of (cid, n, at)."""
+    a, b = F.least(x, y), F.greatest(x, y)  # structs compare by cid first
+    return F.struct(a["cid"].alias("a"), b["cid"].alias("b"), a["n"].alias("n"), b["n"].alias("m"))
+
+
+def rare_pairs(sets: DataFrame) -> DataFrame:
+    """Candidates that share a rare prefix shingle. A list has under FREQUENT members."""
+    each = sets.where("size(rare) > 0").select("cid", "n", "before", F.posexplode(F.expr("slice(rare, 1, cast(prefix AS int))")).alias("k", "token"))
+    lists = each.groupBy("token").agg(F.collect_list(F.struct("cid", "n", (F.col("before") + F.col("k")).alias("at"))).alias("xs")).where("size(xs) > 1")
+
+    def later(x: Column) -> Column:
+        return F.transform(F.filter("xs", lambda y: (x["cid"] < y["cid"]) & may_link(x, y)), lambda y: pair_of(x, y))
+
+    return lists.select(F.explode(F.flatten(F.transform("xs", later))).alias("pair")).select("pair.*").distinct()
+
+
+def lists_of(sets: DataFrame) -> DataFrame:
+    """The members (token, x = struct of cid, n, at; hot) of the lists of frequent and hot prefix shingles."""
+    more = sets.where("prefix > size(rare) AND size(frequent) + size(hot) > 0")
+    each = more.select("cid", "n", (F.col("before") + F.size("rare")).alias("before"), F.size("frequent").alias("frequents"), F.posexplode(F.expr("slice(concat(frequent, hot), 1, cast(prefix - size(rare) AS int))")).alias("k", "token"))
+    return each.select("token", F.struct("cid", "n", (F.col("before") + F.col("k")).alias("at")).alias("x"), (F.col("k") >= F.col("frequents")).alias("hot"))
+
+
+def met(lists: DataFrame, short: DataFrame, how: str = "inner") -> DataFrame:
+    """lists joined with a short table (token, hot, ...) on token; the members of a hot list are dealt SALTS ways."""
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("x.cid"), F.lit(SALTS))).otherwise(0).cast("int")
+    salts = F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
+    return lists.withColumn("salt", salt).join(short.withColumn("salt", salts).drop("hot"), ["token", "salt"], how).drop("salt")
 
 
 def open_lists(lists: DataFrame) -> DataFrame:
-    """The lists (token, x, label) that hold more than one component."""
-    several = lists.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token")
-    return lists.join(several, "token", "left_semi")
+    """The lists (token, x, hot, label) that hold more than one component."""
+    several = lists.groupBy("token", "hot").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token", "hot")
+    return met(lists, several, "left_semi")
 
 
 def stars(lists: DataFrame, centres: int, salt: int) -> DataFrame:
-    """Candidates: each member of a list (token, x = struct of cid, n, at; label) with `centres` members picked by a hash.
+    """Candidates: each member of a list (token, x, hot, label) with `centres` members picked by a hash.
 
     Members fall into `centres` classes by the hash, and the least of each class is a centre; it is an aggregate, so a
     long list shrinks in each task before the shuffle.
     """
     place = F.xxhash64("x.cid", F.lit(salt))
-    picked = lists.groupBy("token", F.pmod(place, F.lit(centres)).alias("kind")).agg(F.min(F.struct(place.alias("place"), "x", "label")).alias("centre"))
-    picked = picked.select("token", F.col("centre.x").alias("y"), F.col("centre.label").alias("other"))
-    return lists.join(picked, "token").where((F.col("label") != F.col("other")) & may_link("x", "y")).select(*pair_of("x", "y")).distinct()
+    picked = lists.groupBy("token", "hot", F.pmod(place, F.lit(centres)).alias("kind")).agg(F.min(F.struct(place.alias("place"), "x", "label")).alias("centre"))
+    picked = picked.select("token", "hot", F.col("centre.x").alias("y"), F.col("centre.label").alias("other"))
+    made = met(lists, picked).where((F.col("label") != F.col("other")) & may_link(F.col("x"), F.col("y")))
+    return made.select(pair_of(F.col("x"), F.col("y")).alias("pair")).select("pair.*").distinct()
 
 
-def part_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """cid, part and tokens: the sets of the documents in ids, cut into PARTS fragments of the order of hashes."""
-    wanted = ids.withColumnRenamed("id", "wanted")
-    if ids.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    picked = docs.join(wanted, docs["id"] == F.col("wanted"), "left_semi")
-    edges = (np.arange(PARTS + 1, dtype=object) * (1 << 64) // PARTS)[1:-1].astype(np.uint64)
+def across(lists: DataFrame) -> DataFrame:
+    """Candidates: all pairs of a list's members in different components. Work is dealt by list, length class and block."""
+    sized = lists.withColumn("long", F.floor(F.log("x.n") / float(np.log(DENOMINATOR / NUMERATOR + 0.005))).cast("int"))
+    blocks = sized.groupBy("token", "hot", "long").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                cid, part, tokens = [], [], []
-                for text in batch.column(0).slice(at, 256):
-                    own = shingles(text.as_py(), size)
-                    if not len(own):
-                        continue
-                    of = class_of(own)
-                    for k, piece in enumerate(np.split(own, np.searchsorted(own, edges))):
-                        if len(piece):
-                            cid.append(of)
-                            part.append(k)
-                            tokens.append(piece.view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(cid, pa.int64()), pa.array(part, pa.int32()), pa.array(tokens, pa.list_(pa.int64()))], names=["cid", "part", "tokens"])
+    def in_blocks(rows: DataFrame) -> DataFrame:
+        return met(rows.withColumnRenamed("long", "of"), blocks).where("long = of").drop("of")
 
-    return picked.select("text").mapInArrow(run, "cid bigint, part int, tokens array<bigint>")
+    left = in_blocks(sized).withColumn("block", F.pmod(F.xxhash64("x.cid", F.lit("block")), F.col("blocks")).cast("int")).select("token", "long", "block", "x", "label")
+    # a member meets the blocks of its own length class and of the one below
+    right = sized.select("token", "hot", F.col("x"), F.col("label").alias("other"), F.col("long").alias("own"), F.explode(F.array("long", F.col("long") - 1)).alias("long"))
+    right = in_blocks(right).select("token", "long", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("x").alias("y"), "other", "own")
+    made = left.join(right, ["token", "long", "block"]).where(((F.col("own") > F.col("long")) | (F.col("label") < F.col("other"))) & (F.col("label") != F.col("other")) & may_link(F.col("x"), F.col("y")))
+    return made.select(pair_of(F.col("x"), F.col("y")).alias("pair")).select("pair.*").distinct()
 
 
 def links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """a and b of the pairs that link: partial overlaps of each fragment, summed per pair."""
-    by_part = pairs.withColumn("part", F.explode(F.array(*map(F.lit, range(PARTS)))))
-    left = sets.select(F.col("cid").alias("a"), "part", F.col("tokens").alias("left"))
-    right = sets.select(F.col("cid").alias("b"), "part", F.col("tokens").alias("right"))
-    partial = by_part.join(left, ["a", "part"]).join(right, ["b", "part"]).select("a", "b", "n", "m", "part", F.size(F.array_intersect("left", "right")).cast("long").alias("partial"))
-    # a repeated row repeats its parts, so each part counts once; a pair has PARTS of them at most
-    counted = partial.groupBy("a", "b", "n", "m").agg(F.collect_set(F.struct("part", "partial")).alias("parts"))
-    summed = counted.withColumn("shared", F.aggregate("parts", F.lit(0).cast("long"), lambda total, p: total + p["partial"]))
+    cut = sets.select("cid", F.explode(F.array(*(F.struct(F.lit(k).alias("part"), F.col(p).alias("tokens")) for k, p in enumerate(PARTS)))).alias("x")).select("cid", "x.*").where("size(tokens) > 0")
+    left = cut.select(F.col("cid").alias("a"), "part", F.col("tokens").alias("left"))
+    right = cut.select(F.col("cid").alias("b"), "part", F.col("tokens").alias("right"))
+    partial = pairs.join(left, "a").join(right, ["b", "part"]).select("a", "b", "n", "m", F.size(F.array_intersect("left", "right")).cast("long").alias("partial"))
+    summed = partial.groupBy("a", "b", "n", "m").agg(F.sum("partial").alias("shared"))
     return summed.where(DENOMINATOR * F.col("shared") >= NUMERATOR * (F.col("n") + F.col("m") - F.col("shared"))).select("a", "b")
 
 
 def components(edges: DataFrame, space: Workspace, name: str) -> DataFrame:
-    """cid and label (the least cid of its component) of the vertices of edges (a, b): least neighbour, then label of label."""
+    """cid and label (the least cid of its component) of the vertices of edges (a, b): least neighbour, then label of label.
+
+    Labels only fall, so the rounds end; taking the label of the label halves the way to the least each time.
+    """
     both = space.keep(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-edges")
     labels = space.keep(both.groupBy(F.col("a").alias("cid")).agg(F.least(F.min("b"), F.first("a")).alias("label")), f"{name}-0")
-    for k in range(1, 200):
+    k = 0
+    while True:
+        k += 1
         near = both.join(labels.select(F.col("cid").alias("b"), "label"), "b").groupBy(F.col("a").alias("cid")).agg(F.min("label").alias("near"))
         lower = labels.join(near, "cid").select("cid", F.least("label", "near").alias("label"), F.col("label").alias("old"))
         jumped = lower.join(labels.select(F.col("cid").alias("of"), F.col("label").alias("far")), F.col("label") == F.col("of")).select("cid", F.least("label", "far").alias("label"), "old")
@@ -321,66 +364,58 @@ def components(edges: DataFrame, space: Workspace, name: str) -> DataFrame:
         space.drop(f"{name}-{k - 1}")
         labels = new.select("cid", "label")
         if new.where("label <> old").isEmpty():
+            space.drop(f"{name}-edges")
             return labels
-    raise RuntimeError("components did not settle")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
     """id_col, n_shingles and component_id (the smallest id reachable by links, itself included) of each row of docs."""
-    spark = docs.sparkSession
-    space = Workspace(spark, "ngram-join")
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    bits = max(8, ceil(log2(int(spark.conf.get("spark.sql.shuffle.partitions")))))
-    order = global_order(docs, space, bits, size)
-    rows = space.keep(records(docs, order, size), "records")
-    _tidy(docs)
-    classes = space.keep(rows.where("cid IS NOT NULL AND id IS NOT NULL").groupBy("cid").agg(F.min("id").alias("id")), "classes")
-    rare = space.keep(rare_pairs(rows, bits), "rare")
-    exploded = rows.where("size(often) > 0").select("cid", "n", F.size("rare").alias("before"), F.posexplode("often").alias("at", "token"))
-    exploded = exploded.groupBy("token", "cid").agg(F.first(F.struct("cid", "n", (F.col("before") + F.col("at")).cast("long").alias("at"))).alias("x"))
-    often = space.keep(exploded, "often")
-    _tidy(docs)
-    long_ = often.groupBy("token").agg(F.count("*").alias("members")).where("members > 1").select("token")
-    lists = space.keep(often.join(long_, "token").select("token", "x"), "lists")
-    space.drop("often")
-    involved = rare.select(F.explode(F.array("a", "b")).alias("cid")).unionByName(lists.select("x.cid")).distinct()
-    sets = space.keep(part_sets(docs, space.keep(classes.join(involved, "cid").select("id"), "involved"), size), "sets")
+    space = Workspace(docs.sparkSession, "ngram-join")
+    docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    found = space.keep(records(docs, size), "records")
+    rows = found.where("n IS NOT NULL").select("id", "n", "cid", "check")
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    hot = hot_shingles(found, total)
+    # first hashes of different sets: about 3 among 10^10 documents
+    renamed = frozenset(r["cid"] for r in rows.where("cid IS NOT NULL").groupBy("cid").agg(F.min("check").alias("low"), F.max("check").alias("high")).where("low <> high").select("cid").collect())
+    if renamed:
+        rows = rows.withColumn("cid", F.when(F.col("cid").isin(*renamed), F.col("check")).otherwise(F.col("cid")))
+    sets = space.keep(sets_of(docs, hot, renamed, total, size), "sets")
     _tidy(docs)
+    rare, lists = space.keep(rare_pairs(sets), "rare"), space.keep(lists_of(sets), "lists")
 
     labels = None
     for k in range(len(STARS) + 1):
         if labels is None:
             named = lists.withColumn("label", F.col("x.cid"))
         else:
-            named = lists.join(labels.withColumnRenamed("cid", "of"), F.col("x.cid") == F.col("of"), "left").select("token", "x", F.coalesce("label", "x.cid").alias("label"))
+            named = lists.join(labels.withColumnRenamed("cid", "of"), F.col("x.cid") == F.col("of"), "left").select("token", "x", "hot", F.coalesce("label", "x.cid").alias("label"))
             named = space.keep(open_lists(named), f"open-{k}")
             if named.isEmpty():
                 break
-        if k < len(STARS):
-            made = stars(named, STARS[k], k)
-        else:
-            other = named.select("token", F.col("x").alias("y"), F.col("label").alias("other"))
-            made = named.join(other, "token").where((F.col("label") < F.col("other")) & may_link("x", "y")).select(*pair_of("x", "y")).distinct()
+        made = stars(named, STARS[k], k) if k < len(STARS) else across(named)
         pairs = space.keep(made.unionByName(rare).distinct() if k == 0 else made, f"pairs-{k}")
-        found = space.keep(links(pairs, sets), f"links-{k}")
+        linked = space.keep(links(pairs, sets), f"links-{k}")
         space.drop(f"pairs-{k}")
-        if found.isEmpty():
+        if linked.isEmpty():
+            if labels is None:
+                labels = linked.select(F.col("a").alias("cid"), F.col("a").alias("label"))
             continue
         if labels is None:
-            labels = space.keep(components(found, space, f"graph-{k}"), f"labels-{k}")
+            labels = space.keep(components(linked, space, f"graph-{k}"), f"labels-{k}")
             continue
 
         def label_of(side: str) -> DataFrame:
             return labels.select(F.col("cid").alias(side), F.col("label").alias(f"l{side}"))
 
-        contracted = found.join(label_of("a"), "a", "left").join(label_of("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where("a <> b").distinct()
+        contracted = linked.join(label_of("a"), "a", "left").join(label_of("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where("a <> b").distinct()
         merged = components(contracted, space, f"graph-{k}").select(F.col("cid").alias("of"), F.col("label").alias("to"))
         moved = labels.join(merged, F.col("label") == F.col("of"), "full").select(F.coalesce("cid", "of").alias("cid"), F.coalesce("to", "label").alias("label"))
         # a label that is a vertex of the contracted graph stands for itself too
         labels = space.keep(moved.unionByName(merged.select(F.col("of").alias("cid"), F.col("to").alias("label"))).groupBy("cid").agg(F.min("label").alias("label")), f"labels-{k}")
     space.drop("sets", "lists", "rare")
-    named = classes if labels is None else classes.join(labels, "cid", "left")
-    named = named.select("cid", "id", (F.col("cid") if labels is None else F.coalesce("label", "cid")).alias("label"))
+    classes = rows.where("cid IS NOT NULL AND id IS NOT NULL").groupBy("cid").agg(F.min("id").alias("id"))
+    named = classes.join(labels, "cid", "left").select("cid", "id", F.coalesce("label", "cid").alias("label"))
     least = named.groupBy("label").agg(F.min("id").alias("component_id"))
     by_class = space.keep(named.join(least, "label").select("cid", "component_id"), "by-class")
     out = rows.select("id", "n", "cid").join(by_class, "cid", "left")

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillstone.llm import ngram_join, q_ngram_join, shingles
 from tests.llm.rows import ODD, table
@@ -102,12 +103,46 @@ def test_frequent_shingles_lose_no_link(spark, monkeypatch):
     check(spark, [*chain, *(edited(rnd, words, 0.03) for _ in range(30)), *chain[:3]])
 
 
-def test_border_rises_when_too_many_are_frequent(spark, monkeypatch):
+def test_hot_shingles_stay_below_their_bound(spark, monkeypatch):
+    """A hot table of ten at most, where many more shingles are as frequent as each other."""
     monkeypatch.setattr(ngram_join, "FREQUENT", 2)
-    monkeypatch.setattr(ngram_join, "MAX_FREQUENT", 10)
+    monkeypatch.setattr(ngram_join, "HOT", 10)
     rnd = random.Random(4)
     words = [f"w{k}" for k in range(60)]
-    check(spark, [edited(rnd, words, 0.02) for _ in range(25)])
+    texts = [edited(rnd, words, 0.02) for _ in range(25)]
+    check(spark, texts)
+    docs = table(spark, texts).select(F.col("doc_id").alias("id"), "text")
+    found = ngram_join.records(docs, 5).cache()
+    total = found.agg(F.sum("n")).first()[0]
+    assert len(ngram_join.hot_shingles(found, total).keys) <= 10
+
+
+def test_last_step_by_length_class_and_block(spark, monkeypatch):
+    """Blocks of three members, no stars: every pair comes from the dealt lists."""
+    monkeypatch.setattr(ngram_join, "FREQUENT", 2)
+    monkeypatch.setattr(ngram_join, "STARS", ())
+    monkeypatch.setattr(ngram_join, "BLOCK", 3)
+    rnd = random.Random(11)
+    passage = " ".join(f"p{k}" for k in range(40))
+    texts = [passage + " " + " ".join(f"x{rnd.randrange(4)}{k}" for k in range(n)) for n in (0, 1, 3, 6, 9, 10, 11, 14, 20, 30) for _ in range(3)]
+    check(spark, texts)
+
+
+def test_chunks_and_ranges_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HELD", 150)
+    monkeypatch.setattr(ngram_join, "RANGE", 16)
+    monkeypatch.setattr(ngram_join, "DEALT", 200)
+    rnd = random.Random(5)
+    words = [f"w{k}" for k in range(300)]
+    check(spark, [edited(rnd, words[a : a + 60], 0.01) for a in range(0, 200, 40) for _ in range(6)])
+
+
+def test_first_hashes_that_collide(spark, monkeypatch):
+    """All sets share their first hash; the second parts them."""
+    own = ngram_join.class_of
+    monkeypatch.setattr(ngram_join, "class_of", lambda x: (7, own(x)[1]))
+    words = [f"w{k}" for k in range(40)]
+    check(spark, [" ".join(words), " ".join(words[:39] + ["z"]), "a b c", "a b c", "d e f"])
 
 
 def test_repeated_rows_and_ids(spark):
