@@ -21,6 +21,11 @@ def lower_ascii(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def whole_row(df: DataFrame, name: str = "row") -> Column:
+    """All columns as one struct, so that they travel whatever their names are; `.select(f"{name}.*")` gives them back."""
+    return F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in df.columns)).alias(name)
+
+
 #: Bytes of input up to which spread() deals rows anew.
 SMALL = 256 << 20
 

@@ -10,7 +10,7 @@ from quillstone.llm.common import read
 
 
 def _joined(spans: str) -> Column:
-    names = F.array(*map(F.lit, pii.KINDS))
+    names = F.array(*map(F.lit, pii.ALL_KINDS))
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
@@ -22,4 +22,4 @@ def op5_pii_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
 
     counts = [number(k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
-    return found.select("doc_id", *counts, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("all").alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("all").alias("spans"), F.size("all").cast("long").alias("n_spans"))
