@@ -105,6 +105,37 @@ def test_without_an_article_only_unnamed_menus_go(before, want):
         assert "\n".join(kept) == want and got.count("many words of running text many") == 80
 
 
+MANY = "<p>" + "words of a long paragraph " * 12 + "</p>"
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        (f"<main><article>{MANY}</article><article><p>a second, short one</p></article></main>", "@\na second, short one"),
+        (f"<main><h1>Title</h1><article>{MANY}</article></main>", "Title\n@"),
+        (f"<article>{MANY}</article><article><h3><a href=/>teaser</a></h3></article>", "@"),
+        (f"<article>{MANY}<section id='social-history'><p>kept</p></section><p class='notice-of-intent'>kept too</p></article>", "@\nkept\nkept too"),
+        (f"<body>{MANY}<div class='volcano-banner'>BUY</div><p>end</p></body>", "@\nend"),
+        (f"<body><h1>H</h1>{MANY}<h2>I</h2><p>short</p>{MANY}<p>x</p></body>", "H\n@\nI\nshort\n@\nx"),
+        (f"<article>{MANY}<article class='comment'><p>a reader says much about it</p></article></article>", "@"),
+        (f"<article>{MANY}</article><div id='commentList'><p>said</p></div>", "@"),
+        (f"<div class='story'>{MANY * 6}</div><article><p>tiny</p></article>", "@\n" * 5 + "@\ntiny"),
+        (f"<div class='content with-sidebar'>{MANY}</div><div class='sidebarLeft'><p>no</p></div>", "@"),
+        (f"<main>{MANY}<p>one</p></main><main><p>two</p></main>", "@\none\ntwo"),
+    ],
+    ids=str,
+)
+def test_region_and_names(page, want):
+    assert html.main_text(page).replace(("words of a long paragraph " * 12).strip(), "@") == want
+
+
+def test_names_of_furniture():
+    for name in ("ad", "cookie-banner", "navLeft", "sidebar_box", "ad-container-2", "main-nav", "related-posts", "post-comments", "share-buttons"):
+        assert html.names_furniture(name), name
+    for name in ("social-history", "notice-of-intent", "has-sidebar", "page_with_menu", "content", "no-banner", "adder", "article-body", ""):
+        assert not html.names_furniture(name), name
+
+
 def test_smoothing_and_threshold():
     values = np.array([1.0, 1.0, 9.0, 9.0])
     assert 1 < html.threshold(values) <= 9
