@@ -16,7 +16,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle() -> str:
-    """DuckDB SQL: every block against every template, without filters."""
+    """DuckDB SQL: every block against every template of its span, without the filters."""
 
     def listed(items) -> str:
         return "[" + ", ".join(f"'{x}'" for x in items) + "]"
@@ -26,18 +26,17 @@ def oracle() -> str:
         parts = phrase.split()
         same = " AND ".join(f"w[i + {k}] = '{p}'" for k, p in enumerate(parts))
         places.append(f"SELECT rid, '{label}' AS label, i - 1 AS place FROM (SELECT rid, w, unnest(range(1, len(w) + 1)) AS i FROM words) WHERE {same}")
-    templates = ", ".join(f"('{label}', {listed(sorted(set(t.split())))}, {licenses.need(len(set(t.split())))})" for label, t in licenses.TEMPLATES)
-    size, half = licenses.WINDOW, licenses.WINDOW // 2
+    templates = ", ".join(f"('{label}', {listed(sorted(set(t.split())))}, {licenses.need(len(set(t.split())))}, {licenses.span(t)})" for label, t in licenses.TEMPLATES)
+    spans = ", ".join(f"({c})" for c in sorted({licenses.span(t) for _, t in licenses.TEMPLATES}))
     return f"""
 WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS low FROM documents),
 words AS (SELECT rid, doc_id, regexp_extract_all(low, '{licenses.WORD}') AS w FROM docs),
 base AS ({' UNION ALL '.join(places)}),
 bases AS (SELECT rid, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list_sort(list_distinct(list(label))) AS labels FROM base GROUP BY rid),
-lines AS (SELECT rid, regexp_extract_all(line, '{licenses.WORD}') AS w FROM (SELECT rid, unnest(string_split_regex(low, '[\\n\\r]+')) AS line FROM docs)),
-blocks AS (SELECT rid, w[k * {half} + 1 : k * {half} + {size}] AS w FROM (SELECT rid, w, unnest(range(0, greatest(0, CAST(ceil((len(w) - {size}) / {half}.0) AS BIGINT)) + 1)) AS k FROM lines)),
-templates(label, own, least) AS (VALUES {templates}),
+blocks AS (SELECT rid, span, list_distinct(w[k * span + 1 : k * span + 2 * span]) AS w FROM (SELECT rid, w, span, unnest(range(0, greatest(0, CAST(ceil(len(w) / CAST(span AS DOUBLE)) AS BIGINT) - 2) + 1)) AS k FROM words, (VALUES {spans}) s(span))),
+templates(label, own, least, span) AS (VALUES {templates}),
 matched AS (SELECT rid, list_sort(list_distinct(list(label))) AS labels, max(part / m) AS part FROM (
-  SELECT rid, label, least, CAST(len(list_intersect(own, list_distinct(w))) AS DOUBLE) AS part, len(own) AS m FROM blocks, templates WHERE list_has_any(own, w)) WHERE part >= least GROUP BY rid)
+  SELECT rid, label, least, CAST(len(list_intersect(own, w)) AS DOUBLE) AS part, len(own) AS m FROM blocks JOIN templates USING (span) WHERE list_has_any(own, w)) WHERE part >= least GROUP BY rid)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
   coalesce(array_to_string(b.labels, ','), '') AS base_labels,
   coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(m.labels, [])))), ','), '') AS labels,
