@@ -34,24 +34,49 @@ def test_collisions_are_parted_by_bytes(spark):
     check(rows, texts, list(range(len(texts))))
 
 
-def test_state_over_batches_and_runs(spark):
-    """One file a batch; later arrivals find earlier state, and their changes replace it."""
-    space = exact_dedup.Workspace(spark, "batches")
-
-    def add(rows):
-        df = spark.createDataFrame([(i, d.encode(), k, "f") for k, (i, d) in enumerate(rows)], "id bigint, digest binary, row bigint, locator string")
-        df.coalesce(1).write.mode("append").parquet(space.path("arrivals"))
-        return df
-
-    add([(1, "a"), (2, "b")])
-    arrivals = add([(3, "a"), (4, "c")])
-
-    def state():
-        return {bytes(r["digest"]).decode(): (r["stays"]["id"], r["n"]) for r in exact_dedup.stream_state(space, arrivals, "arrivals", 1).collect()}
-
-    assert state() == {"a": (3, 2), "b": (2, 1), "c": (4, 1)}
-    add([(9, "b"), (0, "a")])
-    assert state() == {"a": (3, 3), "b": (9, 2), "c": (4, 1)}
+def written(spark, tmp_path, name, texts, ids):
+    """Documents as files, whose rows have places."""
+    path = str(tmp_path / f"{name} %20.parquet")
+    table(spark, texts, ids).repartition(2).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def test_files_that_come_later(spark, tmp_path):
+    """Later arrivals find earlier state, its changes replace it, and row places don't repeat."""
+    space = exact_dedup.Workspace(spark, "later")
+    batches = [(["a", "b", "B", "é"], [1, 2, 3, 4]), (["A", "c", None, "b"], [5, 6, 7, 2]), (["", "d", "a"], [0, 9, 5])]
+    texts, ids = [], []
+    for k, (own, numbers) in enumerate(batches):
+        texts, ids = texts + own, ids + numbers
+        seen = exact_dedup.Seen(spark, space)  # as in another session
+        seen.take(written(spark, tmp_path, f"part{k}", own, numbers), files_per_batch=1)
+        check(seen.classes().collect(), texts, ids)
+    assert seen.epochs() > len(batches)
+
+
+def test_collisions_over_runs(spark, tmp_path):
+    space = exact_dedup.Workspace(spark, "collisions")
+    texts, ids = [], []
+    for k, own in enumerate((["a", "b", "a"], ["c", "b", None], ["C"])):
+        numbers = list(range(len(ids), len(ids) + len(own)))
+        texts, ids = texts + own, ids + numbers
+        seen = exact_dedup.Seen(spark, space, lambda c: F.substring(exact_dedup.sha256(c), 1, 0))
+        seen.take(written(spark, tmp_path, f"part{k}", own, numbers))
+        check(seen.classes().collect(), texts, ids)
+
+
+def test_the_check_reads_files_with_hits_only(spark, tmp_path):
+    seen = exact_dedup.Seen(spark)
+    seen.take(written(spark, tmp_path, "first", ["a", "b"], [1, 2]))
+    hits = seen.arrivals().where("id = 1")
+    text = seen.texts(hits, "text")
+    assert [tuple(r)[1:] for r in text.select("digest", "id", "low").collect()] == [(1, "a")] and len(text.inputFiles()) >= 1
+
+
+def test_many_places_are_shuffled(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "BROADCAST_PLACES", 1)
+    df = written(spark, tmp_path, "first", ["x", "X", "y", None, "", "y"], [1, 2, 3, 4, 5, 3])
+    assert sorted(r["doc_id"] for r in exact_dedup.deduplicate(df).collect()) == [2, 3, 5]
 
 
 def test_rows_that_stay(spark):
