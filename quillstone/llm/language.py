@@ -14,6 +14,7 @@ not learned from. Repeated rows each give a row; an empty table gives an empty o
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -34,8 +35,8 @@ LEAST_SHARE = 1e-5
 LEAST_PART = 0.2
 SLOTS, HASHES = 1 << 21, 3
 UNKNOWN = "und"
-#: Code points of a text that are hashed at once.
-PIECE = 1 << 18
+#: Code points of a text that are hashed at once, and n-grams that a task holds before it counts them.
+PIECE, HELD = 1 << 18, 2_000_000
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -74,6 +75,21 @@ def grams(text: str) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+_SPACE = re.compile(r"\s")
+
+
+def pieces(text: str) -> Iterator[str]:
+    """The text in parts that end at white space, so that no word is cut; a text without any is one part."""
+    at = 0
+    while len(text) - at > PIECE:
+        cut = max(text.rfind(c, at + 1, at + PIECE) for c in " \n\t")
+        if cut < 0:
+            cut = found.start() if (found := _SPACE.search(text, at + 1)) else len(text)
+        yield text[at:cut]
+        at = cut
+    yield text[at:]
+
+
 def slots(keys: np.ndarray) -> list[np.ndarray]:
     step = (keys >> np.uint64(32)) | np.uint64(1)
     return [((keys + np.uint64(k) * step) % np.uint64(SLOTS)).astype(np.int64) for k in range(HASHES)]
@@ -101,8 +117,8 @@ class Model:
 
     def counts(self, text: str) -> tuple[np.ndarray, int]:
         total, looked = np.zeros(len(self.languages)), 0
-        for at in range(0, len(text), PIECE):
-            keys = grams(text[at : at + PIECE])
+        for piece in pieces(text):
+            keys = grams(piece)
             looked += len(keys)
             found = None
             for where in slots(keys):
@@ -137,14 +153,23 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, list[np.ndarray]] = {}
+        held = 0
+
+        def counts() -> Iterator[pa.RecordBatch]:
+            for lang, parts in found.items():
+                keys, n = np.unique(np.concatenate(parts), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), lang, np.int32)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
+
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own = text.as_py()
-                for at in range(0, len(own), PIECE):
-                    found.setdefault(number[lang], []).append(grams(own[at : at + PIECE]))
-        for lang, parts in found.items():
-            keys, n = np.unique(np.concatenate(parts), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), lang, np.int32)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
+                for piece in pieces(text.as_py()):
+                    own = grams(piece)
+                    found.setdefault(number[lang], []).append(own)
+                    held += len(own)
+                    if held >= HELD:
+                        yield from counts()
+                        found, held = {}, 0
+        yield from counts()
 
     counted = picked.select("lang", "text").mapInArrow(count, "lang int, gram bigint, n bigint").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
     totals = {r["lang"]: r["n"] for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}

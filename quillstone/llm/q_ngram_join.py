@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.llm import ngram_join
-from quillstone.llm.common import read
+from quillstone.llm.common import read, whole_row
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,7 +14,7 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_representatives(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs with one document of each group, the one with the smallest id."""
+    """docs with one document of each group, the one with the smallest id; rows that share an id stay or go together, null ids stay."""
     stay = ngram_join.join(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("stays"))
-    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"))
+    whole = docs.select(whole_row(docs), F.col("doc_id").alias("id"))
     return whole.join(stay, F.col("id").eqNullSafe(F.col("stays")), "left_semi").select("row.*")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quillstone.llm import toxicity
 from quillstone.llm.common import read
@@ -17,6 +16,4 @@ def op4_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without the documents that the chain calls toxic."""
-    chain = toxicity.train(docs, read(spark, sf_dir, "labels"))
-    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("scored"))
-    return toxicity.score(whole, chain, "row", "scored").where("NOT toxic").select("row.*")
+    return toxicity.keep_clean(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))

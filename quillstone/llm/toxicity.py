@@ -3,10 +3,13 @@
 The label table has one toxicity flag, so the chain's categories are graded from it: `insult` (flagged, with a word that
 the sample ties to the flag), `repeated_insult` (two such words or more) and `toxic` (flagged), in this order. Each model
 is a logistic regression over the words and word stems of a text and the probabilities of the categories before it; a stem
-is the first four or five letters of a longer word, so inflected forms share a feature. Those probabilities are out-of-fold predictions in training, and the earlier models' own predictions afterwards.
+is the first four or five letters of a longer word, so inflected forms share a feature. Those probabilities are out-of-fold
+predictions in training, and the earlier models' own predictions afterwards.
 
 The models are fitted on a bounded sample of labelled rows (SAMPLE rows, half of each label as far as there are enough,
-first by a hash of the id). The threshold is chosen on out-of-fold predictions, weighted to the true shares of the labels.
+first by a hash of the id). No model has seen what it is judged by: whatever leaves folds out chooses its vocabulary and the
+words tied to the flag without their labels, too. For the threshold, whole chains are fitted without each fold in turn, and
+their predictions of that fold are weighted to the true shares of the labels.
 
 Defined cases: null text is the empty text; texts without known words get the base rate; where the sample lacks one of
 the two labels nothing is toxic; a document labelled twice is toxic if any label says so, null labels don't count;
@@ -24,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.arrow import map_rows
-from quillstone.llm.common import Workspace
+from quillstone.llm.arrow import SLICE, map_rows
+from quillstone.llm.common import Workspace, spread
 
 CATEGORIES = ("insult", "repeated_insult", "toxic")
 #: Bounds of the fit: labelled rows, words of the vocabulary, and documents a word must be in.
@@ -153,37 +156,84 @@ def best_threshold(p: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
     return float((p[order][at] + below) / 2)
 
 
-def fit_chain(vocabulary: list[str], tied: set[str], lists: list[list[int]], y: np.ndarray, fold: np.ndarray, shares: tuple[float, float]) -> Chain:
-    """tied: words that the sample ties to the flag; shares: true number of rows without and with the flag."""
-    positives = int(y.sum())
-    if not 0 < positives < len(y):
-        return Chain({})
-    marks = {k for k, w in enumerate(vocabulary) if w in tied}
-    found = np.array([len(marks.intersection(own)) for own in lists])
-    targets = [y * (found >= 1), y * (found >= 2), y]
-    n = len(y)
-    weights, probabilities = [], np.zeros((n, 0))
-    for target in targets:
-        target = target.astype(float)
-        out = np.zeros(n)
-        for k in range(FOLDS):
-            test = fold == k
-            if test.any() and not test.all():
-                train = np.flatnonzero(~test)
-                w = fit_linear(Rows.of([lists[i] for i in train], len(vocabulary)), probabilities[train], target[train])
-                rows = Rows.of([lists[i] for i in np.flatnonzero(test)], len(vocabulary))
-                d = len(vocabulary)
-                out[test] = sigmoid(rows.times(w[:d]) + probabilities[test] @ w[d:-1] + w[-1])
-        weights.append(fit_linear(Rows.of(lists, len(vocabulary)), probabilities, target))
+@dataclass
+class Choice:
+    """What rows without some folds tell: numbers of the vocabulary's words, and of those tied to the flag."""
+
+    words: list[int]
+    tied: set[int]
+
+
+def fit_chain(choices: dict[frozenset[int], Choice], lists: list[list[int]], y: np.ndarray, fold: np.ndarray, without: frozenset[int] = frozenset()) -> list[np.ndarray]:
+    """Weights of each category's model over choices[without], fitted on the rows outside the folds `without`."""
+    rows = np.flatnonzero(~np.isin(fold, list(without)))
+    weights, probabilities = [], np.zeros((len(y), 0))
+    for category in range(len(CATEGORIES)):
+        out = np.zeros(len(y))
+        for k in sorted(set(fold[rows].tolist())):
+            test, train = rows[fold[rows] == k], rows[fold[rows] != k]
+            choice = choices[without | {k}]
+            w = _fit_category(category, choice, lists, y, probabilities, train) if len(train) else np.zeros(len(choice.words) + category + 1)
+            out[test] = _predict(w, choice, lists, probabilities, test)
+        weights.append(_fit_category(category, choices[without], lists, y, probabilities, rows))
         probabilities = np.column_stack([probabilities, out])
-    weight = np.where(y > 0, shares[1] / positives, shares[0] / (n - positives))
-    return Chain({w: k for k, w in enumerate(vocabulary)}, weights, best_threshold(probabilities[:, -1], y, weight))
+    return weights
+
+
+def _own(choice: Choice, lists: list[list[int]], rows: np.ndarray) -> Rows:
+    number = {w: k for k, w in enumerate(choice.words)}
+    return Rows.of([[number[w] for w in lists[i] if w in number] for i in rows], len(number))
+
+
+def _fit_category(category: int, choice: Choice, lists: list[list[int]], y: np.ndarray, probabilities: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    least = (1, 2, 0)[category]  # tied words that a text of the category holds
+    target = np.array([y[i] * (len(choice.tied.intersection(lists[i])) >= least) for i in rows])
+    return fit_linear(_own(choice, lists, rows), probabilities[rows], target)
+
+
+def _predict(w: np.ndarray, choice: Choice, lists: list[list[int]], probabilities: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    d = len(choice.words)
+    return sigmoid(_own(choice, lists, rows).times(w[:d]) + probabilities[rows] @ w[d:-1] + w[-1])
+
+
+def held_out(choices: dict[frozenset[int], Choice], lists: list[list[int]], y: np.ndarray, fold: np.ndarray) -> np.ndarray:
+    """The last category's probability of each row, by a chain fitted without its fold."""
+    p = np.zeros(len(y))
+    for k in sorted(set(fold.tolist())):
+        without, rows = frozenset({k}), np.flatnonzero(fold == k)
+        if len(rows) == len(y):
+            continue
+        probabilities = np.zeros((len(y), 0))
+        for w in fit_chain(choices, lists, y, fold, without):
+            own = np.zeros(len(y))
+            own[rows] = _predict(w, choices[without], lists, probabilities, rows)
+            probabilities = np.column_stack([probabilities, own])
+        p[rows] = probabilities[rows, -1]
+    return p
+
+
+def choose(counts: DataFrame, sizes: dict[tuple[int, int], int]) -> dict[frozenset[int], tuple[list[str], set[str]]]:
+    """Vocabulary and tied words without each fold, without each two, and of all rows. Each is WORDS words at most.
+
+    counts: word, n0.. (documents of each fold that hold it) and t0.. (those with the flag); sizes: documents by (fold, flag).
+    """
+    out = {}
+    sets = [frozenset(), *(frozenset({k}) for k in range(FOLDS)), *(frozenset({j, k}) for k in range(FOLDS) for j in range(k))]
+    for without in sets:
+        own = [k for k in range(FOLDS) if k not in without]
+        with_, n = (sum((F.col(f"{c}{k}") for k in own), F.lit(0)) for c in ("t", "n"))
+        toxic, clean = (sum(sizes.get((k, flag), 0) for k in own) for flag in (1, 0))
+        rate_with, rate_without = (with_ + 0.5) / (toxic + 1.0), (n - with_ + 0.5) / (clean + 1.0)
+        scored = counts.where(n >= LEAST_DOCS).select("word", with_.alias("with"), F.log(rate_with / rate_without).alias("tie"), (F.abs(rate_with - rate_without) * F.abs(F.log(rate_with / rate_without))).alias("gain"))
+        chosen = scored.orderBy(F.desc("gain"), "word").limit(WORDS).collect()
+        out[without] = [r["word"] for r in chosen], {r["word"] for r in chosen if r["tie"] > np.log(20) and r["with"] >= max(LEAST_DOCS, 0.02 * toxic)}
+    return out
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
     """Fits the chain on labelled rows of docs(doc_id, text); labels(doc_id, toxic)."""
     spark = docs.sparkSession
-    flags = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    flags = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     shares = {r["toxic"]: r["n"] for r in flags.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not shares.get(0) or not shares.get(1):
         return Chain({})
@@ -191,18 +241,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
     picked = first[0].unionByName(first[1])  # SAMPLE rows at most, so the broadcast below is bounded
     space = Workspace(spark, "toxicity")
     rows = space.keep(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]), "sample").select("doc_id", "toxic", "text")
-    listed = map_rows(rows.select(F.struct("doc_id", "toxic", F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(FOLDS)).alias("fold")).alias("row"), "text"), ["row", "text"], [pa.field("words", pa.list_(pa.string()))], lambda: lambda text: (sorted(words(text)),))
+    # copies of a text are in one fold
+    listed = map_rows(rows.select(F.struct("doc_id", "toxic", F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(FOLDS)).cast("int").alias("fold")).alias("row"), "text"), ["row", "text"], [pa.field("words", pa.list_(pa.string()))], lambda: lambda text: (sorted(words(text)),))
     listed = space.keep(listed.select("row.*", "words"), "words")
-    counts = listed.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum(F.col("toxic").cast("long")).alias("with"), F.count("*").alias("n")).where(F.col("n") >= LEAST_DOCS)
-    got = {r["toxic"]: r["n"] for r in listed.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    if not got.get(0) or not got.get(1):
+    sizes = {(r["fold"], r["toxic"]): r["n"] for r in listed.groupBy("fold", "toxic").agg(F.count("*").alias("n")).collect()}
+    if not all(sum(n for (_, flag), n in sizes.items() if flag == t) for t in (0, 1)):
         return Chain({})
-    rate_with, rate_without = (F.col("with") + 0.5) / (got[1] + 1.0), (F.col("n") - F.col("with") + 0.5) / (got[0] + 1.0)
-    scored = counts.withColumn("tie", F.log(rate_with / rate_without)).withColumn("gain", F.abs(rate_with - rate_without) * F.abs("tie"))
-    chosen = scored.orderBy(F.desc("gain"), "word").limit(WORDS).collect()
-    vocabulary = [r["word"] for r in chosen]
-    tied = {r["word"] for r in chosen if r["tie"] > np.log(20) and r["with"] >= max(LEAST_DOCS, 0.02 * got[1])}
-    number = {w: k for k, w in enumerate(vocabulary)}
+    by_fold = [F.count_if(F.col("fold") == k).alias(f"n{k}") for k in range(FOLDS)] + [F.count_if((F.col("fold") == k) & (F.col("toxic") == 1)).alias(f"t{k}") for k in range(FOLDS)]
+    counts = listed.select("fold", "toxic", F.explode("words").alias("word")).groupBy("word").agg(*by_fold).where(sum((F.col(f"n{k}") for k in range(FOLDS)), F.lit(0)) >= LEAST_DOCS)
+    chosen = choose(space.keep(counts, "counts"), sizes)
+    number = {w: k for k, w in enumerate(sorted({w for own, _ in chosen.values() for w in own}))}
 
     def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,10 +258,28 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(own, pa.list_(pa.int32()))], names=["doc_id", "toxic", "fold", "columns"])
 
     kinds = {f.name: f.dataType.simpleString() for f in listed.schema}
-    data = listed.select("doc_id", "toxic", "fold", "words").mapInArrow(numbers, f"doc_id {kinds['doc_id']}, toxic {kinds['toxic']}, fold {kinds['fold']}, columns array<int>").orderBy("doc_id").collect()
-    chain = fit_chain(vocabulary, tied, [r["columns"] for r in data], np.array([float(r["toxic"] > 0) for r in data]), np.array([r["fold"] for r in data]), (float(shares[0]), float(shares[1])))
-    space.drop("sample", "words")
-    return chain
+    data = listed.select("doc_id", "toxic", "fold", "words").mapInArrow(numbers, f"doc_id {kinds['doc_id']}, toxic int, fold int, columns array<int>").orderBy("doc_id").collect()
+    space.drop("sample", "words", "counts")
+    lists, y, fold = [r["columns"] for r in data], np.array([float(r["toxic"]) for r in data]), np.array([r["fold"] for r in data])
+    choices = {without: Choice([number[w] for w in own], {number[w] for w in tied}) for without, (own, tied) in chosen.items()}
+    weights = fit_chain(choices, lists, y, fold)
+    weight = np.where(y > 0, shares[1] / y.sum(), shares[0] / (len(y) - y.sum()))
+    return Chain({w: k for k, w in enumerate(chosen[frozenset()][0])}, weights, best_threshold(held_out(choices, lists, y, fold), y, weight))
+
+
+def keep_clean(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
+    """The rows of docs that the chain doesn't call toxic, with all their columns, whatever their names. One pass, no shuffle."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(chain), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE):
+                part = batch.slice(start, SLICE)
+                yield part.filter(pa.array([own.predict(text)[-1] < own.threshold for text in part.column(at).to_pylist()], pa.bool_()))
+
+    numbered = spread(docs).toDF(*(f"c{k}" for k in range(len(docs.columns))))  # Arrow wants plain names
+    return numbered.mapInArrow(run, numbered.schema).toDF(*docs.columns)
 
 
 SCORES = [*(pa.field(f"p_{c}", pa.float64()) for c in CATEGORIES), pa.field("toxic", pa.bool_())]

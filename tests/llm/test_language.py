@@ -19,6 +19,23 @@ def test_grams_by_brute_force():
     assert np.array_equal(np.sort(language.grams("AB cd")), np.sort(language.grams("  ab--CD ")))
 
 
+def test_long_texts_are_cut_between_words(monkeypatch):
+    text = "Ein ΣΑΣ langes\tWort\u2003steht hier. " * 40 + "w" * 300 + "\u2003ende"
+    whole = np.sort(language.grams(text))
+    for size in (7, 50, 1000):
+        monkeypatch.setattr(language, "PIECE", size)
+        assert "".join(language.pieces(text)) == text
+        assert np.array_equal(np.sort(np.concatenate([language.grams(p) for p in language.pieces(text)])), whole)
+
+
+def test_tasks_hold_few_grams(spark, monkeypatch):
+    df = table(spark, ["der hund und die katze " * 9, "the dog and the cat " * 9] * 5).drop("lang").selectExpr("*", "IF(doc_id % 2 = 0, 'de', 'en') AS lang")
+    model = language.learn(df)
+    monkeypatch.setattr(language, "HELD", 20)
+    again = language.learn(df)
+    assert model.languages == again.languages and np.array_equal(model.masks, again.masks)
+
+
 def test_filter_returns_all_languages_that_hold_a_gram():
     names = [f"l{k}" for k in range(70)]
     rng = np.random.default_rng(0)

@@ -35,9 +35,20 @@ def test_targets_by_brute_force(spark):
 
 
 def test_points_are_golden(spark):
-    n = [0, 1, 2, 3, 1000, 65535, 65536, 123456789, (1 << 32) - 1, 1 << 33]
+    n = [0, 1, 2, 3, 1000, 65535, 65536, 123456789, (1 << 32) - 1, 1 << 33, 10**15 + 7]
     got = [r["u"] for r in spark.createDataFrame([(k,) for k in n], "i long").select(mixing.point(__import__("pyspark").sql.functions.col("i")).alias("u")).collect()]
-    assert got == [k * mixing.GOLDEN % (1 << 32) for k in n]
+    assert got == [k * mixing.GOLDEN % mixing.WHOLE for k in n]
+    assert mixing.GOLDEN % 2 and abs(mixing.GOLDEN / mixing.WHOLE - 0.6180339887498949) < 1e-12
+
+
+def test_every_source_gets_its_slots(spark):
+    """A few slots beside 10^5 of another source; where points come late, the slots follow at the end."""
+    sizes = [(k + 1, 100_000 if k == 20 else 1 + k % 7) for k in range(40)]
+    sources = spark.createDataFrame(sizes, "sid int, slots long")
+    got = collections.defaultdict(list)
+    for r in mixing.schedule(sources).collect():
+        got[r["sid"]].append(r["rank"])
+    assert {sid: sorted(ranks) for sid, ranks in got.items()} == {sid: list(range(n)) for sid, n in sizes}
 
 
 def test_odd_rows(spark):
@@ -73,5 +84,24 @@ def test_stage_takes_whole_copies(spark, data):
             assert abs(times[r["doc_id"]] - r["taken"] / r["size"]) <= 0.5
 
 
+def test_stage_comes_near_the_targets(spark):
+    """Whole copies, rounded: the words of each source's copies against its target."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rows = mixing.mix(docs).join(docs.select("doc_id", "source"), "doc_id").collect()
+    words, target = collections.Counter(), {}
+    for r in rows:
+        words[r["source"]] += round(r["taken"] / r["size"]) * r["size"] if r["size"] else 0
+        target[r["source"]] = r["target"]
+    assert all(abs(words[s] - target[s]) <= 0.03 * target[s] for s in target), {s: words[s] / target[s] for s in target}
+
+
+def test_stage_on_odd_rows(spark):
+    docs = table(spark, [*ODD, "x y"], [*range(len(ODD)), None])
+    out = q_mixing.mixed(spark, docs, "")
+    assert out.columns == docs.columns
+    assert {r["doc_id"] for r in out.collect()} <= {*range(len(ODD)), None}
+    assert q_mixing.mixed(spark, table(spark, []), "").count() == 0
+
+
 def test_query(spark, data):
     assert_same(q_mixing.op6_golden_mix(spark, data), q_mixing.oracle(), data)

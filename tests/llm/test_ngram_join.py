@@ -158,6 +158,16 @@ def test_empty_and_null_ids(spark):
     assert {(r["doc_id"], r["n_shingles"]) for r in rows} == {(None, 1), (4, 0)}
 
 
+def test_stage_on_odd_rows(spark):
+    docs = table(spark, [*ODD, "a b", "a b", None], [*range(len(ODD)), None, 3, None])
+    out = q_ngram_join.keep_representatives(spark, docs, "")
+    components, _ = brute(ODD, list(range(len(ODD))))
+    assert out.columns == docs.columns
+    got = [r["doc_id"] for r in out.collect()]
+    assert set(got) - {None} == set(components.values()) and got.count(None) == 2
+    assert q_ngram_join.keep_representatives(spark, table(spark, []), "").count() == 0
+
+
 def test_stage_keeps_one_of_each_group(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     out = q_ngram_join.keep_representatives(spark, docs, data)

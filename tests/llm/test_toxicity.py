@@ -52,6 +52,33 @@ def test_nothing_to_learn(spark):
     assert toxicity.score(table(spark, []), toxicity.Chain({})).count() == 0
 
 
+def test_no_model_sees_the_labels_of_its_fold(spark):
+    """Another label of a fold's rows changes neither what is chosen without it nor the chain that predicts it."""
+    texts, flags = corpus(200)
+    rnd = random.Random(0)
+    fold = np.array([rnd.randrange(toxicity.FOLDS) for _ in texts])
+    held = [sorted(toxicity.words(t)) for t in texts]
+    number = {w: k for k, w in enumerate(sorted({w for x in held for w in x}))}
+    lists = [[number[w] for w in x] for x in held]
+
+    def chosen(y):
+        by = {w: [0] * (2 * toxicity.FOLDS) for w in number}
+        for words, k, flag in zip(held, fold, y):
+            for w in words:
+                by[w][k] += 1
+                by[w][toxicity.FOLDS + k] += int(flag)
+        names = [f"{c}{k}" for c in "nt" for k in range(toxicity.FOLDS)]
+        counts = spark.createDataFrame([(w, *n) for w, n in by.items()], "word string, " + ", ".join(f"{n} long" for n in names))
+        sizes = {(k, f): int(((fold == k) & (y == f)).sum()) for k in range(toxicity.FOLDS) for f in (0, 1)}
+        return {x: toxicity.Choice([number[w] for w in own], {number[w] for w in tied}) for x, (own, tied) in toxicity.choose(counts, sizes).items()}
+
+    y = np.array(flags, float)
+    other = np.where(fold == 2, 1 - y, y)
+    one, two = chosen(y), chosen(other)
+    assert one[frozenset({2})] == two[frozenset({2})] and one[frozenset({1, 2})] == two[frozenset({1, 2})] and one[frozenset()] != two[frozenset()]
+    assert np.allclose(toxicity.held_out(one, lists, y, fold)[fold == 2], toxicity.held_out(two, lists, other, fold)[fold == 2])
+
+
 def test_linear_model_fits_its_loss():
     rng = np.random.default_rng(0)
     lists = [sorted(set(rng.integers(0, 20, 6).tolist())) for _ in range(200)]
@@ -74,6 +101,15 @@ def test_held_out_accuracy(spark):
     assert sum(r["toxic"] for r in clean) / len(clean) < 0.01
 
 
+def test_stage_on_odd_rows(spark):
+    texts, flags = corpus()
+    chain = toxicity.train(table(spark, texts), labels(spark, flags))
+    odd = table(spark, [*ODD, texts[0], texts[0]], [*range(len(ODD)), 500, None])
+    out = toxicity.keep_clean(odd, chain)
+    assert out.columns == odd.columns and sorted(r["doc_id"] for r in out.collect()) == list(range(len(ODD)))
+    assert toxicity.keep_clean(table(spark, []), chain).count() == 0
+
+
 def test_stage_keeps_columns(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     out = q_toxicity.keep_clean(spark, docs, data)
