@@ -36,3 +36,19 @@ def box_around(lat: float, lon: float, km: float) -> tuple[tuple[float, float],
     flat = cos(radians(lat))
     dlon = degrees(km / (EARTH_KM * flat)) if flat > 1e-12 and abs(lat) + dlat < 90 else 360.0
     return (lat - dlat, lon - dlon), (lat + dlat, lon + dlon)
+
+
+def cell(lat: Column, lon: Column, bits: int = 16) -> Column:
+    """Number of a cell of the sphere along a Z-shaped curve: near points have near numbers, mostly. Null without a place."""
+
+    def spread(x: Column) -> Column:
+        """The low 16 bits with a gap after each."""
+        for shift, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+            x = x.bitwiseOR(F.shiftleft(x, shift)).bitwiseAND(F.lit(mask).cast("long"))
+        return x
+
+    def part(x: Column, low: float, width: float) -> Column:
+        last = (1 << bits) - 1
+        return F.least(F.greatest(F.floor((x - low) / width * (1 << bits)), F.lit(0)), F.lit(last)).cast("long")
+
+    return spread(part(lon, -180.0, 360.0)).bitwiseOR(F.shiftleft(spread(part(lat, -90.0, 180.0)), 1))

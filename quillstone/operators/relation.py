@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillstone.functions.predicates import decided
 from quillstone.sources.shared import kept
@@ -22,11 +24,29 @@ def column(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+@dataclass(frozen=True)
+class Key:
+    """A sort key; nulls come first when ascending and last when descending, so flipping it turns the order round."""
+
+    column: Column
+    descending: bool = False
+
+    def sorted(self) -> Column:
+        return self.column.desc_nulls_last() if self.descending else self.column.asc_nulls_first()
+
+    def flipped(self) -> Key:
+        return Key(self.column, not self.descending)
+
+
+#: Holds the places of rows that were put before or after all others; not among the columns that frame() shows.
+_SIDE = "_side"
+
+
 @dataclass(frozen=True)
 class Relation:
     df: DataFrame
     key: tuple[str, ...] = ()
-    order: tuple[Column, ...] = ()
+    order: tuple[Key, ...] = ()
 
     # filters and projections
     def where(self, predicate: Column) -> Relation:
@@ -87,29 +107,41 @@ class Relation:
 
     # order and position
     def order_by(self, c: str | Column) -> Relation:
-        return replace(self, order=(column(c).asc_nulls_first(),))
+        return replace(self, order=(Key(column(c)),))
 
     def order_by_descending(self, c: str | Column) -> Relation:
-        return replace(self, order=(column(c).desc_nulls_last(),))
+        return replace(self, order=(Key(column(c), True),))
 
     def then_by(self, c: str | Column) -> Relation:
-        return replace(self, order=(*self.order, column(c).asc_nulls_first()))
+        return replace(self, order=(*self.order, Key(column(c))))
 
     def then_by_descending(self, c: str | Column) -> Relation:
-        return replace(self, order=(*self.order, column(c).desc_nulls_last()))
+        return replace(self, order=(*self.order, Key(column(c), True)))
+
+    def _keys(self) -> tuple[Key, ...]:
+        return (*self.order, *(Key(F.col(k)) for k in self.key))
 
     def _total(self) -> list[Column]:
-        return [*self.order, *(F.col(k).asc_nulls_first() for k in self.key)]
+        return [k.sorted() for k in self._keys()]
+
+    def _flipped(self) -> Relation:
+        if not self._keys():
+            raise ValueError("positions need an order or a key")
+        return replace(self, order=tuple(k.flipped() for k in self._keys()))
 
     def frame(self) -> DataFrame:
+        return (self.df.orderBy(*self._total()) if self.order else self.df).drop(_SIDE)
+
+    def _ordered(self) -> DataFrame:
         return self.df.orderBy(*self._total()) if self.order else self.df
 
     def take(self, n: int) -> Relation:
         """Sorted, this is a top-n: each task keeps n rows."""
-        return replace(self, df=self.frame().limit(n))
+        return replace(self, df=self._ordered().limit(n))
 
     def skip(self, n: int) -> Relation:
-        return replace(self, df=self.frame().offset(n))
+        """With take() after it a top-n; alone, all rows pass one task."""
+        return replace(self, df=self._ordered().offset(n))
 
     def numbered(self, name: str = "position") -> DataFrame:
         """Rows with their place in the order, from 0.
@@ -128,17 +160,21 @@ class Relation:
         return marked.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_row")).drop("_part", "_row", "_before")
 
     def reverse(self) -> Relation:
-        """The opposite order; an order must have been given."""
-        place = "_place"
-        return replace(self, df=self.numbered(place).orderBy(F.desc(place)).drop(place), order=())
+        """The opposite order."""
+        return self._flipped()
 
     def take_last(self, n: int) -> Relation:
-        numbered = self.numbered("_place")
-        return replace(self, df=numbered.orderBy(F.desc("_place")).limit(n).drop("_place"))
+        """The first n of the opposite order: each task keeps n rows."""
+        return replace(self, df=self._flipped().take(n).df)
 
     def skip_last(self, n: int) -> Relation:
-        total = self.df.count()
-        return replace(self, df=self.numbered("_place").where(F.col("_place") < total - n).drop("_place"))
+        """All but the last n; a key tells those by a join with n rows, without one all rows are numbered."""
+        if not self.key:
+            total = self.df.count()
+            return replace(self, df=self.numbered("_place").where(F.col("_place") < total - n).drop("_place"))
+        last = self.take_last(n).df.select(*(F.col(k).alias(f"_last{i}") for i, k in enumerate(self.key)))
+        same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_last{i}")) for i, k in enumerate(self.key)))
+        return replace(self, df=self.df.join(last, same, "left_anti"))
 
     def _first_miss(self, predicate: Column) -> DataFrame:
         numbered = self.numbered("_place")
@@ -163,10 +199,21 @@ class Relation:
         right = other.numbered("_place").select("_place", F.struct(*other.df.columns).alias("second"))
         return left.join(right, "_place").drop("_place")
 
+    def _put(self, rows: tuple[tuple, ...], side: int) -> Relation:
+        own = self.df if _SIDE in self.df.columns else self.df.withColumn(_SIDE, F.lit(0))
+        plain = [f for f in own.schema.fields if f.name != _SIDE]
+        edge = own.agg((F.min if side < 0 else F.max)(_SIDE)).first()[0] or 0
+        more = self.df.sparkSession.createDataFrame(list(rows), T.StructType(plain))
+        order = self.order if any(_SIDE in repr(k.column) for k in self.order) else (Key(F.col(_SIDE)), *self.order)
+        return Relation(own.unionByName(more.withColumn(_SIDE, F.lit(edge + side))), self.key, order)
+
     def append(self, *rows: tuple) -> Relation:
-        return Relation(self.df.unionByName(self.df.sparkSession.createDataFrame(list(rows), self.df.schema)), self.key, self.order)
+        """With rows after all others; those given together are in the order of the key."""
+        return self._put(rows, 1)
 
-    prepend = append  # rows have no place but that of the order
+    def prepend(self, *rows: tuple) -> Relation:
+        """With rows before all others."""
+        return self._put(rows, -1)
 
     def default_if_empty(self, row: tuple) -> Relation:
         spare = self.df.sparkSession.createDataFrame([row], self.df.schema)
@@ -213,7 +260,7 @@ class Relation:
 
     def first_or_none(self, predicate: Column | None = None) -> Row | None:
         own = self if predicate is None else self.where(predicate)
-        return next(iter(own.take(1).df.collect()), None)
+        return next(iter(own.take(1).frame().collect()), None)
 
     def first(self, predicate: Column | None = None) -> Row:
         row = self.first_or_none(predicate)
@@ -223,10 +270,10 @@ class Relation:
 
     def last_or_none(self, predicate: Column | None = None) -> Row | None:
         own = self if predicate is None else self.where(predicate)
-        return next(iter(own.take_last(1).df.collect()), None)
+        return next(iter(own.take_last(1).frame().collect()), None)
 
     def single_or_none(self, predicate: Column | None = None) -> Row | None:
-        rows = (self if predicate is None else self.where(predicate)).df.limit(2).collect()
+        rows = (self if predicate is None else self.where(predicate)).df.drop(_SIDE).limit(2).collect()
         if len(rows) > 1:
             raise LookupError("the sequence has more than one row")
         return rows[0] if rows else None
@@ -238,7 +285,7 @@ class Relation:
         return row
 
     def element_at(self, n: int) -> Row:
-        rows = self.skip(n).df.limit(1).collect() if n >= 0 else []
+        rows = self.skip(n).df.limit(1).drop(_SIDE).collect() if n >= 0 else []
         if not rows:
             raise LookupError(f"no row at {n}")
         return rows[0]

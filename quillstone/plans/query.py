@@ -15,6 +15,20 @@ from quillstone.plans.schemaless import Schemaless, sort_key
 from quillstone.plans.typed import Typed, nearest
 
 
+@dataclass(frozen=True)
+class Sort:
+    """An order that is made apart from a query."""
+
+    keys: tuple[tuple[str, bool], ...]
+
+    @classmethod
+    def by(cls, name: str, descending: bool = False) -> Sort:
+        return cls(((name, not descending),))
+
+    def then_by(self, name: str, descending: bool = False) -> Sort:
+        return Sort((*self.keys, (name, not descending)))
+
+
 @dataclass(frozen=True)
 class DocQuery:
     """A query on `df`. key: column that identifies a row; it breaks ties and every projection keeps it.
@@ -42,9 +56,9 @@ class DocQuery:
     def or_(self, source: f.Node | str | dict) -> DocQuery:
         return replace(self, node=self.node | (source if isinstance(source, f.Node) else f.parse(source)))
 
-    def sort(self, source: str | dict | list[tuple[str, bool]]) -> DocQuery:
-        """Replaces the order; {"a": 1, "b": -1}."""
-        return replace(self, order=tuple(source if isinstance(source, list) else f.parse_sort(source)))
+    def sort(self, source: str | dict | list[tuple[str, bool]] | Sort) -> DocQuery:
+        """Replaces the order; {"a": 1, "b": -1}, or Sort.by("a").then_by("b", descending=True)."""
+        return replace(self, order=source.keys if isinstance(source, Sort) else tuple(source if isinstance(source, list) else f.parse_sort(source)))
 
     def order_by(self, name: str) -> DocQuery:
         return replace(self, order=((name, True),))
@@ -75,6 +89,7 @@ class DocQuery:
         return replace(self, exclude=names, include=None)
 
     def matching(self) -> DataFrame:
+        nearest(self.node)  # fails where the clause has no meaning
         compiler = Schemaless(F.col(self.variant)) if self.variant else Typed(self.df.schema)
         return self.df.where(compiler.compile(self.node))
 

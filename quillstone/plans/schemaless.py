@@ -35,19 +35,21 @@ def type_name(v: Column) -> Column:
 
 
 def kind(v: Column) -> Column:
-    """Place of the value's kind in KINDS; SQL null where absent."""
-    name = type_name(v)
-    return (
-        F.when(v.isNull(), None)
-        .when(F.is_variant_null(v), KINDS.index("null"))
-        .when(name == "BOOLEAN", KINDS.index("boolean"))
-        .when(name.isin("BIGINT", "DOUBLE", "FLOAT") | F.startswith(name, F.lit("DECIMAL")), KINDS.index("number"))
-        .when(name == "STRING", KINDS.index("string"))
-        .when(name.isin("TIMESTAMP", "TIMESTAMP_NTZ", "DATE"), KINDS.index("timestamp"))
-        .when(name == "BINARY", KINDS.index("binary"))
-        .when(F.startswith(name, F.lit("OBJECT")), KINDS.index("document"))
-        .otherwise(KINDS.index("array"))
-    )
+    """Place of the value's kind in KINDS; SQL null where absent. The name of the type is made once for each value."""
+
+    def of(name: Column) -> Column:
+        return (
+            F.when(name == "VOID", KINDS.index("null"))
+            .when(name == "BOOLEAN", KINDS.index("boolean"))
+            .when(name.isin("BIGINT", "DOUBLE", "FLOAT") | F.startswith(name, F.lit("DECIMAL")), KINDS.index("number"))
+            .when(name == "STRING", KINDS.index("string"))
+            .when(name.isin("TIMESTAMP", "TIMESTAMP_NTZ", "DATE"), KINDS.index("timestamp"))
+            .when(name == "BINARY", KINDS.index("binary"))
+            .when(F.startswith(name, F.lit("OBJECT")), KINDS.index("document"))
+            .otherwise(KINDS.index("array"))
+        )
+
+    return F.when(v.isNotNull(), F.transform(F.array(type_name(v)), of)[0])
 
 
 def as_type(v: Column, t: str) -> Column:
@@ -91,20 +93,27 @@ class Schemaless:
         return self.compare(self.value(node.field), node.op, node.value)
 
     def compare(self, v: Column, op: str, value: Any) -> Column:
-        own, wanted = kind(v), KINDS.index(kind_of_value(value))
+        """A value of the wanted type is compared as such; only of others is the kind looked up."""
+        wanted = KINDS.index(kind_of_value(value))
         name = KINDS[wanted]
-        if name == "null":
-            order = F.lit(0)
-        elif name == "boolean":
-            order = as_type(v, "boolean").cast("int") - int(value)
-        elif name in ("document", "array"):
-            order = F.when(F.to_json(v) == F.to_json(F.parse_json(F.lit(json.dumps(value)))), 0).otherwise(1)
+        if name in ("null", "document", "array"):
+            there = F.is_variant_null(v) if name == "null" else kind(v) == wanted
+            order = F.lit(0) if name == "null" else F.when(F.to_json(v) == F.to_json(F.parse_json(F.lit(json.dumps(value)))), 0).otherwise(1)
         else:
-            got = as_type(v, {"number": "double", "string": "string", "timestamp": "timestamp", "binary": "binary"}[name])
+            got = self._exactly(v, name)
             other = F.lit(float(value) if name == "number" else value)
-            order = F.when(got == other, 0).when(got < other, -1).otherwise(1)
-        order = F.when(v.isNull(), None).when(own < wanted, -1).when(own > wanted, 1).otherwise(order)
-        return {"eq": order == 0, "ne": F.coalesce(order != 0, F.lit(True)), "gt": order > 0, "gte": order >= 0, "lt": order < 0, "lte": order <= 0}[op]
+            there, order = got.isNotNull(), F.when(got == other, 0).when(got < other, -1).otherwise(1)
+        if op == "eq":
+            return there & (order == 0)
+        if op == "ne":
+            return ~F.coalesce(there & (order == 0), F.lit(False))
+        order = F.when(v.isNull(), None).when(there, order).otherwise(F.when(kind(v) < wanted, -1).otherwise(1))
+        return {"gt": order > 0, "gte": order >= 0, "lt": order < 0, "lte": order <= 0}[op]
+
+    def _exactly(self, v: Column, name: str) -> Column:
+        """The value if it is of that kind, else null: a cast alone would take "1" for a number, or true for 1."""
+        got = as_type(v, {"number": "double", "string": "string", "timestamp": "timestamp", "binary": "binary", "boolean": "boolean"}[name])
+        return F.when(got.isNotNull() & (kind(v) == KINDS.index(name)), got)
 
     def _in(self, node: f.In) -> Column:
         v = self.value(node.field)

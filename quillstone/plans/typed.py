@@ -194,6 +194,7 @@ class Typed:
         return F.coalesce(haversine_km(lat_of(*own), lon_of(*own), F.lit(node.center[0]), F.lit(node.center[1])) <= node.km, F.lit(False))
 
     def _nearvector(self, node: f.NearVector) -> Column:
+        """The condition itself; the query takes the nearest of what matches, so it must stand beside the others (`nearest`)."""
         own = self.field(node.field)
         return own[0].isNotNull() if own else F.lit(False)
 
@@ -210,9 +211,16 @@ def where(df: DataFrame, node: f.Node | str | dict) -> DataFrame:
 
 
 def nearest(node: f.Node) -> f.NearVector | None:
-    """The nearest-neighbour clause that stands at the top of a filter, alone or in an AND."""
+    """The nearest-neighbour clause that stands at the top of a filter, alone or in an AND; elsewhere it has no meaning."""
+    parts = node.parts if isinstance(node, f.And) else (node,)
+    here = [p for p in parts if isinstance(p, f.NearVector)]
+    inner = [nearest(p) for p in parts if isinstance(p, f.And) and p is not node]
+    if any(_holds(p) for p in parts if isinstance(p, (f.Or, f.Not))) or len(here) + sum(x is not None for x in inner) > 1:
+        raise f.FilterError("$nearVector stands once, alone or beside other conditions")
+    return next(iter([*here, *(x for x in inner if x is not None)]), None)
+
+
+def _holds(node: f.Node) -> bool:
     if isinstance(node, f.NearVector):
-        return node
-    if isinstance(node, f.And):
-        return next((x for p in node.parts if (x := nearest(p))), None)
-    return None
+        return True
+    return any(map(_holds, node.parts)) if isinstance(node, (f.And, f.Or)) else _holds(node.part) if isinstance(node, f.Not) else False

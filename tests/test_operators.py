@@ -32,7 +32,7 @@ def test_order_and_positions(few):
     assert ids(few.order_by_descending("v").then_by_descending("id").frame()) == [3, 4, 1, 2]
     o = few.order_by("v")
     assert {r["id"]: r["position"] for r in o.numbered().collect()} == {2: 0, 1: 1, 4: 2, 3: 3}
-    assert ids(o.reverse().df) == [3, 4, 1, 2]
+    assert ids(o.reverse().frame()) == [3, 4, 1, 2]
     assert sorted(ids(o.take_last(2).df)) == [3, 4]
     assert sorted(ids(o.skip_last(3).df)) == [2]
     assert sorted(ids(o.take_while(F.col("v").isNull() | (F.col("v") < 7)).df)) == [1, 2, 4]
