@@ -51,4 +51,5 @@ def cell(lat: Column, lon: Column, bits: int = 16) -> Column:
         last = (1 << bits) - 1
         return F.least(F.greatest(F.floor((x - low) / width * (1 << bits)), F.lit(0)), F.lit(last)).cast("long")
 
-    return spread(part(lon, -180.0, 360.0)).bitwiseOR(F.shiftleft(spread(part(lat, -90.0, 180.0)), 1))
+    number = spread(part(lon, -180.0, 360.0)).bitwiseOR(F.shiftleft(spread(part(lat, -90.0, 180.0)), 1))
+    return F.when(lat.isNotNull() & lon.isNotNull(), number)

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillstone.functions.geo import box_around, haversine_km, lat_of, lon_of, within_box
 from quillstone.functions.vectors import distance
@@ -23,6 +28,92 @@ def nearest_of_many(df: DataFrame, vectors: str, query: Sequence[float], k: int,
     return df.where(F.size(vectors) > 0).withColumn(name, best).orderBy(name, key).limit(k)
 
 
+def nearest_groups(df: DataFrame, vector: str, query: Sequence[float], k: int, group: str, metric: str = "cosine", name: str = "distance") -> DataFrame:
+    """The k groups of rows nearest to query, each by its nearest row: a minimum per task and group, so groups may be of any size."""
+    scored = df.where(F.col(vector).isNotNull()).select(group, distance(F.col(vector), query, metric).alias(name))
+    return scored.groupBy(group).agg(F.min(name).alias(name)).orderBy(name, group).limit(k)
+
+
+#: Rows that the centres of an index are fitted on, at most.
+CENTRE_SAMPLE = 20_000
+_CELL = "_cell"
+
+
+class VectorIndex:
+    """An approximate index of a table's vectors: every row lies in a folder by the nearest of some centres.
+
+    The centres come from a bounded sample (CENTRE_SAMPLE rows, first by a hash of the key); all rows are indexed. A search
+    reads the folders of the `probes` centres nearest to the query and is exact among their rows; with as many probes as
+    centres it is exact. Rows without a vector are left out. `metric` is that of the searches; cosine centres are of unit vectors.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        own = json.loads(spark.read.text(f"{self.path}/centres").first()[0])
+        self.vector, self.key, self.metric, self.centres = own["vector"], own["key"], own["metric"], np.array(own["centres"])
+        self.schema = T.StructType.fromJson(own["schema"]).add(_CELL, T.IntegerType())
+
+    @classmethod
+    def build(cls, df: DataFrame, path: str, vector: str, key: str, metric: str = "cosine", cells: int = 16, seed: int = 1) -> VectorIndex:
+        rows = df.where(F.col(vector).isNotNull())
+        sample = rows.orderBy(F.xxhash64(key), key).limit(CENTRE_SAMPLE).select(array_to_vector(_unit(F.col(vector), metric)).alias("features"))
+        fitted = KMeans(k=cells, seed=seed, maxIter=20).fit(sample.coalesce(1)) if not sample.isEmpty() else None
+        centres = [[float(x) for x in c] for c in fitted.clusterCenters()] if fitted else []
+        place = _closest(_unit(F.col(vector), metric), centres) if centres else F.lit(0)
+        rows.withColumn(_CELL, place).repartition(_CELL, F.pmod(F.xxhash64(key), F.lit(8))).write.mode("overwrite").partitionBy(_CELL).parquet(f"{path}/rows")
+        text = json.dumps({"vector": vector, "key": key, "metric": metric, "centres": centres, "schema": json.loads(df.schema.json())})
+        df.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/centres")
+        return cls(df.sparkSession, path)
+
+    def rows(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/rows")
+
+    def _probed(self, query: Sequence[float], probes: int) -> list[int]:
+        q = np.asarray(query, float)
+        q = q / (np.linalg.norm(q) or 1.0) if self.metric == "cosine" else q
+        away = -(self.centres @ q) if self.metric == "dot" else ((self.centres - q) ** 2).sum(axis=1)
+        return [int(c) for c in np.argsort(away, kind="stable")[:probes]]
+
+    def search(self, query: Sequence[float], k: int, probes: int = 8, name: str = "distance") -> DataFrame:
+        """The k nearest rows among those of the probed folders; other folders aren't read."""
+        rows = self.rows().where(F.col(_CELL).isin(*self._probed(query, probes))) if len(self.centres) else self.rows()
+        return nearest(rows, self.vector, query, k, self.key, self.metric, name).drop(_CELL)
+
+    def search_all(self, queries: DataFrame, k: int, probes: int = 8, query_key: str = "query", query_vector: str = "vector") -> DataFrame:
+        """query_key, key and distance of the k nearest rows of each query, by a join on the folders that it probes."""
+        centres = self.centres.tolist()
+        apart = _distances(_unit(F.col(query_vector), self.metric), centres, self.metric)
+        nearest_cells = F.slice(F.array_sort(F.transform(apart, lambda d, c: F.struct(d.alias("d"), c.alias("c")))), 1, probes)
+        asked = queries.select(F.col(query_key).alias("_query"), F.col(query_vector).alias("_asked"), F.explode(F.transform(nearest_cells, lambda x: x["c"])).alias(_CELL))
+        scored = self.rows().select(_CELL, self.key, self.vector).join(asked, _CELL).select("_query", self.key, distance(F.col(self.vector), F.col("_asked"), self.metric).alias("distance"))
+        order = Window.partitionBy("_query").orderBy("distance", self.key)
+        best = scored.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= k)  # each task keeps k a query before the shuffle
+        return best.select(F.col("_query").alias(query_key), self.key, "distance")
+
+
+def _unit(vector: Column, metric: str) -> Column:
+    own = vector.cast("array<double>")
+    if metric != "cosine":
+        return own
+    norm = F.sqrt(F.aggregate(own, F.lit(0.0), lambda total, x: total + x * x))
+    return F.when(norm == 0, own).otherwise(F.transform(own, lambda x: x / norm))
+
+
+def _distances(vector: Column, centres: list[list[float]], metric: str) -> Column:
+    """Of a vector to each centre: squared, or the negative product for `dot`."""
+    table = F.array(*(F.array(*map(F.lit, c)) for c in centres))
+
+    def term(x: Column, y: Column) -> Column:
+        return -x * y if metric == "dot" else (x - y) * (x - y)
+
+    return F.transform(table, lambda c: F.aggregate(F.zip_with(vector, c, term), F.lit(0.0), lambda total, x: total + x))
+
+
+def _closest(vector: Column, centres: list[list[float]]) -> Column:
+    apart = _distances(vector, centres, "l2")
+    return (F.array_position(apart, F.array_min(apart)) - 1).cast("int")
+
+
 def within(df: DataFrame, point: str, low: tuple[float, float], high: tuple[float, float]) -> DataFrame:
     """Points in a box, borders included; corners are (lat, lon)."""
     return df.where(within_box(F.col(point), df.schema[point].dataType, low, high))

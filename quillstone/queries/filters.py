@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.plans import filters as f
-from quillstone.plans.query import DocQuery
+from quillstone.plans.query import DocQuery, Sort
 from quillstone.plans.schemaless import documents
 from quillstone.queries.common import Query, docs, money, table
 
@@ -60,15 +60,15 @@ def filter_exists_null(spark: SparkSession, d: str) -> DataFrame:
     return _holes(spark, d).filter({"status": None, "price": {"$exists": True}}).frame()
 
 
-@register("filter_type", "SELECT o_orderkey FROM orders WHERE o_orderkey % 10 = 0")
+@register("filter_type", "SELECT o_orderkey FROM orders")
 def filter_type(spark: SparkSession, d: str) -> DataFrame:
-    return docs(spark, d, "orders").filter({"o_totalprice": {"$type": 1}, "o_orderstatus": {"$type": 2}, "o_orderdate": {"$type": 9}, "o_orderkey": {"$mod": [10, 0]}}).project().frame()
+    return docs(spark, d, "orders").filter({"o_totalprice": {"$type": 1}, "o_orderstatus": {"$type": 2}, "o_orderdate": {"$type": 9}}).project().frame()
 
 
-@register("filter_cross_kind", "SELECT o_orderkey FROM orders WHERE o_orderkey < 50")
+@register("filter_cross_kind", "SELECT o_orderkey FROM orders")
 def filter_cross_kind(spark: SparkSession, d: str) -> DataFrame:
     """Values of different kinds compare by kind: numbers are below strings, strings never equal numbers."""
-    return docs(spark, d, "orders").filter({"o_totalprice": {"$lt": "a"}, "o_orderstatus": {"$ne": 1, "$gt": 5}, "o_orderkey": {"$lt": 50}}).project().frame()
+    return docs(spark, d, "orders").filter({"o_totalprice": {"$lt": "a"}, "o_orderstatus": {"$ne": 1, "$gt": 5}}).project().frame()
 
 
 @register("filter_strings", "SELECT p_partkey, p_name FROM part WHERE starts_with(p_name, 'red') AND ends_with(p_name, 't') AND contains(p_name, 'dge')")
@@ -199,5 +199,22 @@ def variant_sort(spark: SparkSession, d: str) -> DataFrame:
 
 @register("variant_nested_path", "SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k FROM events WHERE CAST(props->>'$.k' AS BIGINT) > 95")
 def variant_nested_path(spark: SparkSession, d: str) -> DataFrame:
-    rows = _variants(spark, d).df.select("event_id", F.try_variant_get("doc", "$.props.k", "bigint").alias("k"))
-    return rows.where("k > 95")
+    """A path is its outer field's document; the filter language takes names, not paths, so the inner document is queried."""
+    inner = _variants(spark, d).df.select("event_id", F.try_variant_get("doc", "$.props", "variant").alias("doc"))
+    return DocQuery(inner, "event_id", "doc").filter({"k": {"$gt": 95}}).matching().select("event_id", F.try_variant_get("doc", "$.k", "bigint").alias("k"))
+
+
+@register("sort_then_by", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_totalprice > 300000 ORDER BY o_orderstatus, o_totalprice DESC, o_orderkey LIMIT 40")
+def sort_then_by(spark: SparkSession, d: str) -> DataFrame:
+    order = Sort.by("o_orderstatus").then_by("o_totalprice", descending=True)
+    return docs(spark, d, "orders").filter({"o_totalprice": {"$gt": 300000}}).sort(order).take(40).project("o_orderstatus", "o_totalprice").frame()
+
+
+@register("filter_terminals", "SELECT (SELECT count(*) FROM customer WHERE c_nationkey = 3) AS n, (SELECT count(*) > 0 FROM customer WHERE c_acctbal > 9000) AS some, (SELECT count(*) = 0 FROM customer WHERE c_acctbal > 99999) AS nothing, (SELECT c_custkey FROM customer WHERE c_nationkey = 3 ORDER BY c_acctbal DESC, c_custkey LIMIT 1) AS first, (SELECT string_agg(CAST(c_custkey AS VARCHAR), ',' ORDER BY c_custkey) FROM customer WHERE c_acctbal > 9990) AS listed")
+def filter_terminals(spark: SparkSession, d: str) -> DataFrame:
+    q = docs(spark, d, "customer")
+    nation = q.filter({"c_nationkey": 3})
+    rich = q.filter({"c_acctbal": {"$gt": 9990}})
+    listed = ",".join(str(r["c_custkey"]) for r in sorted(rich.to_list(), key=lambda r: r["c_custkey"]))
+    row = (nation.count(), q.filter({"c_acctbal": {"$gt": 9000}}).any(), q.filter({"c_acctbal": {"$gt": 99999}}).none(), nation.order_by_descending("c_acctbal").first()["c_custkey"], listed if listed else None)
+    return spark.createDataFrame([row], "n long, some boolean, nothing boolean, first long, listed string")

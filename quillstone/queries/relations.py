@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import enum
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.functions.predicates import field, negate
+from quillstone.functions.predicates import Fields, converts, field, negate
 from quillstone.operators.relation import Relation
 from quillstone.queries.common import KEYS, Query, cents, money, table
 
@@ -149,17 +153,141 @@ def positions(spark: SparkSession, d: str) -> DataFrame:
     return rel(spark, d, "orders").order_by("o_orderdate").numbered().select("o_orderkey", "position")
 
 
-@register("skip_take_while", "SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS n, min(CASE WHEN o_totalprice >= 495000 THEN o_orderkey END) OVER () AS stop FROM orders) WHERE o_orderkey < stop AND n > 3")
-def skip_take_while(spark: SparkSession, d: str) -> DataFrame:
-    o = rel(spark, d, "orders").order_by("o_orderkey")
-    first = o.df.orderBy("o_orderkey").limit(3)
-    return o.take_while(field("o_totalprice").lt(495000)).anti(Relation(first), "o_orderkey").select("o_orderkey").df
+@register("take_while", "SELECT o_orderkey FROM (SELECT o_orderkey, min(CASE WHEN o_totalprice >= 495000 THEN o_orderkey END) OVER () AS stop FROM orders) WHERE o_orderkey < stop")
+def take_while(spark: SparkSession, d: str) -> DataFrame:
+    return rel(spark, d, "orders").order_by("o_orderkey").take_while(field("o_totalprice").lt(495000)).select("o_orderkey").df
+
+
+@register("skip_while", "SELECT o_orderkey FROM (SELECT o_orderkey, o_orderdate, min(CASE WHEN o_totalprice >= 495000 THEN o_orderdate END) OVER () AS stop, min(CASE WHEN o_totalprice >= 495000 THEN (o_orderdate, o_orderkey) END) OVER () AS start FROM orders) WHERE (o_orderdate, o_orderkey) >= start")
+def skip_while(spark: SparkSession, d: str) -> DataFrame:
+    return rel(spark, d, "orders").order_by("o_orderdate").skip_while(field("o_totalprice").lt(495000)).select("o_orderkey").df
+
+
+@register("reversed_order", "SELECT o_orderkey FROM orders ORDER BY o_orderpriority DESC, o_orderdate, o_orderkey DESC OFFSET 5 LIMIT 20")
+def reversed_order(spark: SparkSession, d: str) -> DataFrame:
+    return rel(spark, d, "orders").order_by("o_orderpriority").then_by_descending("o_orderdate").reverse().skip(5).take(20).select("o_orderkey").df
+
+
+@register("take_last", "SELECT o_orderkey FROM (SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey DESC LIMIT 15)")
+def take_last(spark: SparkSession, d: str) -> DataFrame:
+    return rel(spark, d, "orders").order_by("o_totalprice").take_last(15).select("o_orderkey").df
+
+
+@register("skip_last", "SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey DESC) AS nth FROM orders) WHERE nth > 15")
+def skip_last(spark: SparkSession, d: str) -> DataFrame:
+    return rel(spark, d, "orders").order_by("o_totalprice").skip_last(15).select("o_orderkey").df
+
+
+@register("chunks", "SELECT n // 10 AS chunk, count(*) AS n, min(name) AS least FROM (SELECT n_name AS name, row_number() OVER (ORDER BY n_name) - 1 AS n FROM nation) GROUP BY 1")
+def chunks(spark: SparkSession, d: str) -> DataFrame:
+    rows = rel(spark, d, "nation").order_by("n_name").chunk(10)
+    return rows.select("chunk", F.size("rows").cast("long").alias("n"), F.array_min(F.transform("rows", lambda x: x["n_name"])).alias("least"))
+
+
+@register("zip_rows", "SELECT a.n_name AS first, b.r_name AS second FROM (SELECT n_name, row_number() OVER (ORDER BY n_name DESC) AS n FROM nation) a JOIN (SELECT r_name, row_number() OVER (ORDER BY r_name) AS n FROM region) b USING (n)")
+def zip_rows(spark: SparkSession, d: str) -> DataFrame:
+    zipped = rel(spark, d, "nation").order_by_descending("n_name").zip(rel(spark, d, "region").order_by("r_name"))
+    return zipped.select(F.col("first.n_name").alias("first"), F.col("second.r_name").alias("second"))
+
+
+@register("sequence_equal", "SELECT true AS same, false AS other")
+def sequence_equal(spark: SparkSession, d: str) -> DataFrame:
+    n = Relation(rel(spark, d, "nation").df.select("n_name", "n_nationkey"))
+    return spark.createDataFrame([(n.order_by("n_name").sequence_equal(n.order_by_descending("n_name").reverse()), n.order_by("n_name").sequence_equal(n.order_by("n_nationkey")))], "same boolean, other boolean")
+
+
+@register("append_prepend", "(SELECT 'begin' AS r_name, 0 AS place) UNION ALL (SELECT r_name, row_number() OVER (ORDER BY r_name) FROM region) UNION ALL (SELECT 'end', count(*) + 1 FROM region)")
+def append_prepend(spark: SparkSession, d: str) -> DataFrame:
+    r = Relation(rel(spark, d, "region").df.select("r_name")).order_by("r_name").append(("end",)).prepend(("begin",))
+    return r.numbered("place").select("r_name", "place")
+
+
+@register("of_type_cast", "SELECT event_id, TRY_CAST(word AS INTEGER) AS word, CAST(value AS DECIMAL(18,2))::DOUBLE AS value FROM (SELECT event_id, value, CASE WHEN event_id % 3 = 0 THEN CAST(event_id AS VARCHAR) ELSE event_type END AS word FROM events) WHERE TRY_CAST(word AS INTEGER) IS NOT NULL")
+def of_type_cast(spark: SparkSession, d: str) -> DataFrame:
+    e = rel(spark, d, "events").df.select("event_id", F.when(F.col("event_id") % 3 == 0, F.col("event_id").cast("string")).otherwise(F.col("event_type")).alias("word"), "value")
+    return Relation(e).of_type("word", "int").cast("value", "decimal(18,2)").df.withColumn("value", F.col("value").cast("double"))
+
+
+@register("fetch_cap", "SELECT 7 AS n, 7 AS known")
+def fetch_cap(spark: SparkSession, d: str) -> DataFrame:
+    """Without an order any rows count, and no more than asked are read."""
+    o = rel(spark, d, "orders")
+    some = Relation(o.df.select("o_orderkey")).take(7).df
+    return some.join(o.df.select(F.col("o_orderkey").alias("known")), F.col("o_orderkey") == F.col("known"), "left").agg(F.count("o_orderkey").cast("int").alias("n"), F.count("known").cast("int").alias("known"))
+
+
+@register("terminals", "SELECT (SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 1) AS first, (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' ORDER BY o_totalprice DESC, o_orderkey DESC LIMIT 1) AS last, (SELECT o_custkey FROM orders WHERE o_orderkey = 7) AS single, (SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey OFFSET 41 LIMIT 1) AS nth, CAST(NULL AS BIGINT) AS nothing, 'empty,several' AS errors, (SELECT CAST(sum(n_nationkey) AS BIGINT) FROM nation) AS keys")
+def terminals(spark: SparkSession, d: str) -> DataFrame:
+    o, n = rel(spark, d, "orders"), rel(spark, d, "nation")
+    errors = []
+    for name, ask in (("empty", lambda: o.first(field("o_totalprice").lt(0))), ("several", lambda: o.single(field("o_orderstatus").eq("F")))):
+        try:
+            ask()
+        except LookupError:
+            errors.append(name)
+    seen: list[int] = []
+    n.for_each(lambda r: seen.append(r["n_nationkey"]))
+    dear = o.order_by_descending("o_totalprice")
+    row = (dear.first()["o_orderkey"], o.order_by("o_totalprice").last_or_none(field("o_orderstatus").eq("F"))["o_orderkey"], o.single(field("o_orderkey").eq(7))["o_custkey"], dear.element_at(41)["o_orderkey"], o.single_or_none(field("o_orderkey").eq(-1)), ",".join(errors), sum(seen))
+    return spark.createDataFrame([row], "first long, last long, single long, nth long, nothing long, errors string, keys long")
+
+
+@register("where_strings", "SELECT p_partkey FROM part WHERE starts_with(p_name, 're') AND ends_with(p_name, 't') AND contains(p_name, 'd') AND p_brand NOT IN ('Brand#11')")
+def where_strings(spark: SparkSession, d: str) -> DataFrame:
+    by = Fields(rel(spark, d, "part").df)
+    return rel(spark, d, "part").where(by.P_Name.startswith("re") & by.p_name.endswith("t") & by.p_name.contains("d") & negate(by.p_brand.one_of(["Brand#11"]))).select("p_partkey").df
+
+
+@register("where_flag", "SELECT c_custkey FROM customer WHERE c_acctbal > 5000 AND NOT (c_custkey % 5 <> 0 AND c_custkey % 3 = 0)")
+def where_flag(spark: SparkSession, d: str) -> DataFrame:
+    """Boolean columns as predicates of their own; a null isn't true."""
+    c = rel(spark, d, "customer").df.select("c_custkey", (F.col("c_acctbal") > 5000).alias("rich"), F.when(F.col("c_custkey") % 5 != 0, F.col("c_custkey") % 3 == 0).alias("third"))
+    return Relation(c).where(field("rich").is_true() & negate(field("third").is_true())).select("c_custkey").df
+
+
+@register("where_compare_to", "SELECT o_orderkey FROM orders WHERE o_orderpriority > '3-MEDIUM' AND o_totalprice <= 100000")
+def where_compare_to(spark: SparkSession, d: str) -> DataFrame:
+    return rel(spark, d, "orders").where((field("o_orderpriority").compare_to("3-MEDIUM") > 0) & (field("o_totalprice").compare_to(100000) <= 0)).select("o_orderkey").df
+
+
+class Status(enum.Enum):
+    FINISHED, OPEN, PARTIAL = 1, 2, 3
+
+
+@register("where_enum", "SELECT o_orderkey FROM orders WHERE o_orderstatus IN ('F', 'P') AND o_orderstatus <> 'O'")
+def where_enum(spark: SparkSession, d: str) -> DataFrame:
+    """Enums are kept as numbers."""
+    number = F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "O", 2).otherwise(3)
+    return Relation(rel(spark, d, "orders").df.select("o_orderkey", number.alias("status"))).where(field("status").one_of([Status.FINISHED, Status.PARTIAL]) & field("status").ne(Status.OPEN)).select("o_orderkey").df
+
+
+@dataclass(frozen=True)
+class Money:
+    """A value of its own class, kept as cents."""
+
+    cents: int
+
+
+@register("where_converted", "SELECT o_orderkey FROM orders WHERE CAST(round(o_totalprice * 100) AS BIGINT) BETWEEN 10000000 AND 10500000")
+def where_converted(spark: SparkSession, d: str) -> DataFrame:
+    converts(Money, lambda m: m.cents)
+    priced = rel(spark, d, "orders").df.select("o_orderkey", F.round(F.col("o_totalprice") * 100).cast("long").alias("price"))
+    return Relation(priced).where(field("price").between(Money(10_000_000), Money(10_500_000))).select("o_orderkey").df
+
+
+@register("where_ticks", "SELECT event_id FROM events WHERE hour(ts) * 60 + minute(ts) < 390 AND CAST(ts AS DATE) >= DATE '2024-01-02'")
+def where_ticks(spark: SparkSession, d: str) -> DataFrame:
+    """Times of day as ticks of 100 ns, and dates."""
+    e = rel(spark, d, "events").df
+    day = F.date_trunc("day", "ts")
+    ticks = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(day.cast("timestamp"))) * 10
+    return Relation(e.select("event_id", ticks.alias("time"), F.to_date("ts").alias("day"))).where(field("time").lt(dt.time(6, 30)) & field("day").ge(dt.date(2024, 1, 2))).select("event_id").df
 
 
-@register("zip_chunk", "SELECT n // 10 AS chunk, count(*) AS n, min(name) AS least FROM (SELECT n_name AS name, row_number() OVER (ORDER BY n_name) - 1 AS n FROM nation) GROUP BY 1")
-def zip_chunk(spark: SparkSession, d: str) -> DataFrame:
-    chunks = rel(spark, d, "nation").order_by("n_name").chunk(10)
-    return chunks.select("chunk", F.size("rows").cast("long").alias("n"), F.array_min(F.transform("rows", lambda x: x["n_name"])).alias("least"))
+@register("where_python", "SELECT c_custkey FROM customer WHERE c_custkey % 7 = 0 AND c_mktsegment LIKE '%U%'")
+def where_python(spark: SparkSession, d: str) -> DataFrame:
+    """A predicate that only Python knows sees the columns that it names."""
+    return rel(spark, d, "customer").where_rows(lambda r: r["c_custkey"] % 7 == 0 and "U" in r["c_mktsegment"], "c_custkey", "c_mktsegment").select("c_custkey").df
 
 
 @register("min_max_by", "SELECT arg_min(p_name, (p_retailprice, p_partkey)) AS cheapest, arg_max(p_partkey, (p_retailprice, p_partkey)) AS dearest FROM part")

@@ -21,6 +21,7 @@ import uuid
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 from dataclasses import asdict, dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -210,10 +211,12 @@ class Collection:
         named = entry.parts if parts is None else parts
         if not named:
             return self.db.spark.createDataFrame([], schema)
-        hashed = self._hashed(entry) is not None
-        own = self.db.spark.read.schema(T.StructType([*schema.fields, T.StructField(_BUCKET, T.IntegerType())]) if hashed else schema)
-        rows = own.parquet(*(f"{self.db.root}/{self.name}/{p}" for p in named))
-        return rows.drop(_BUCKET) if hashed and not buckets else rows
+        paths = [f"{self.db.root}/{self.name}/{p}" for p in named]
+        if self._hashed(entry) is None:
+            return self.db.spark.read.schema(schema).parquet(*paths)
+        whole = T.StructType([*schema.fields, T.StructField(_BUCKET, T.IntegerType())])
+        rows = reduce(DataFrame.unionByName, (self.db.spark.read.schema(whole).parquet(p) for p in paths))  # each part has folders of its own
+        return rows if buckets else rows.drop(_BUCKET)
 
     @staticmethod
     def _hashed(entry: Entry) -> str | None:

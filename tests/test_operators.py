@@ -124,7 +124,7 @@ def brute_normal(t):
 def test_all_documents_are_normalized(spark, data, tmp_path):
     from quillstone.queries import ALL
 
-    query, _ = ALL["text_normalized_all"]
+    query, _ = ALL["text_normalized"]
     own = spark.createDataFrame([(1, "ÀÉî—ß Straße 2½"), (2, None), (3, ""), (4, "日本語、テキスト 😀"), (5, "Привет, мир ٣"), (6, "plain Text"), (None, "e\u0301 \u00a0x")], "doc_id bigint, text string")
     own.write.parquet(f"{tmp_path}/documents.parquet")
     for d in (data, str(tmp_path)):
@@ -251,3 +251,198 @@ def test_database(spark, tmp_path):
     assert manifest.count() > 0 and Database(spark, str(tmp_path / "copy"))["people"].digest() == before
     assert c.delete([1, 99]) == 1 and c.truncate() == 3 and c.count() == 0
     assert db.collections() == ["people"] and c.drop_index("by_name") and db.drop("people") and not db.drop("people")
+
+
+def test_catalog_entries_and_conflicts(spark, tmp_path):
+    from quillstone.sources.catalog import Conflict
+
+    db = Database(spark, str(tmp_path / "db"))
+    c = db.create("t", "id", "id int, v int")
+    one, two = db.entry("t"), db.entry("t")
+    c._commit(one, spark.createDataFrame([(1, 1)], "id int, v int"))
+    with pytest.raises(Conflict):
+        c._commit(two, spark.createDataFrame([(2, 2)], "id int, v int"))
+    assert ids(c.frame()) == [1]
+    c.insert(spark.createDataFrame([(k, k % 5) for k in range(2, 60)], "id int, v int"))
+    assert ids(c.find_one(field("v").eq(99))) == [] and c.find_rows(lambda r: r["id"] == 7, "id").count() == 1
+    c.create_index("by_hash", "v", kind="hash")
+    c.insert(spark.createDataFrame([(70, 3), (71, None)], "id int, v int"))
+    found = c.find_hashed(3)
+    assert sorted(ids(found)) == [*range(3, 60, 5), 70]
+    plan = spark._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "formatted")
+    assert "PartitionFilters: [isnotnull(_bucket" in plan
+    assert c.bounds("v") == (0, 4) and c.bounds("id") == (1, 71)
+    assert sorted(c.frame().columns) == ["id", "v"] and c.delete([70]) == 1 and c.update(spark.createDataFrame([(71, 3)], "id int, v int")) == 1
+    assert sorted(ids(c.find_hashed(3))) == [*range(3, 60, 5), 71]
+    other = db.migrate(str(tmp_path / "single"), files=1)
+    assert other["t"].digest() == c.digest() and len(other["t"].frame().inputFiles()) >= 1
+    db.vacuum()
+    assert db._entries("t")[-1:] == db._entries("t") and c.count() == 60
+    assert c.drop_index("by_hash") and c.count() == 60
+    with pytest.raises(LookupError):
+        c.find_hashed(3)
+
+
+def test_plans_and_cursor(spark, tmp_path):
+    from quillstone.plans import filters as f
+    from quillstone.plans.access import plan_of
+
+    assert plan_of(f.parse({"$or": [{"a": 1}, {"a": {"$in": [2, 1]}}]}), {"a"}).values == (1, 2)
+    assert plan_of(f.parse({"$or": [{"a": 1}, {"b": 2}]}), {"a", "b"}).kind == "scan"
+    p = plan_of(f.parse({"a": {"$gt": 3, "$lte": 9}, "b": {"$gt": 1}}), {"a", "b"})
+    assert (p.kind, p.column, p.low, p.high) == ("range", "a", 3, 9)
+    db = Database(spark, str(tmp_path / "db"))
+    c = db.create("t", "id", "id int, v int")
+    c.insert(spark.createDataFrame([(k, (k * 7) % 20 if k % 9 else None) for k in range(50)], "id int, v int"))
+    c.create_index("by_v", "v")
+    rows = {r["id"]: r["v"] for r in c.frame().collect()}
+    plan = c.plan({"v": {"$gte": 3, "$lt": 6}})
+    assert plan.kind == "range" and [r["id"] for r in c.run(plan).to_list()] == sorted((k for k, v in rows.items() if v is not None and 3 <= v < 6), key=lambda k: (rows[k], k))
+    assert c.run(c.plan({"$or": [{"v": 3}, {"v": 5}, {"v": 3}]})).count() == sum(v in (3, 5) for v in rows.values())
+    cursor = c.cursor("v")
+    cursor.size = 4
+    order = sorted((v, k) for k, v in rows.items() if v is not None)
+    got = [cursor.first()]
+    while (row := cursor.next()) is not None:
+        got.append(row)
+    assert [(r["v"], r["id"]) for r in got] == order
+    assert cursor.last()["id"] == order[-1][1] and cursor.previous()["id"] == order[-2][1] and cursor.next()["id"] == order[-1][1]
+    at = next(i for i, (v, _) in enumerate(order) if v >= 7)
+    assert cursor.seek(7)["id"] == order[at][1] and cursor.previous()["id"] == order[at - 1][1]
+
+
+def test_series_and_policies_on_insert(spark, tmp_path):
+    now = [NOW]
+    log = metrics.AuditLog(spark, str(tmp_path / "audit"))
+    db = Database(spark, str(tmp_path / "db"), clock=lambda: now[0], audit=log)
+    day = dt.timedelta(days=1)
+    s = db.create("s", "id", "id int, at timestamp", series="at", ttl=2 * day)
+    schema = "id int, at timestamp"
+    s.insert(spark.createDataFrame([(1, NOW - 5 * day), (2, NOW - 4 * day)], schema))
+    s.insert(spark.createDataFrame([(3, None)], schema))
+    assert s.frame().where("id = 3").first()["at"] == NOW and s.count() == 3
+    now[0] = NOW + dt.timedelta(minutes=6)  # the next insert prunes
+    s.insert(spark.createDataFrame([(4, NOW - 9 * day)], schema))
+    assert sorted(ids(s.frame())) == [3, 4]  # the old part went whole; what follows a fresh part stays
+    assert s.prune(NOW + 30 * day) and s.count() == 0
+    c = db.create("c", "id", schema)
+    c.set_retention(retention.Policy("at", max_count=2))
+    c.insert(spark.createDataFrame([(k, NOW + k * day) for k in range(4)], schema))
+    assert sorted(ids(c.frame())) == [2, 3] and c.policy().max_count == 2
+    c.set_retention(retention.Policy("at", max_age=day, on_insert=False))
+    c.insert(spark.createDataFrame([(9, NOW - 9 * day), (10, None)], schema))
+    assert c.count() == 4 and c.retain(NOW + 4 * day) == 2 and sorted(ids(c.frame())) == [3, 10]
+    kinds = {r["type"] for r in log.events().collect()}
+    assert kinds == {"insert", "commit", "delete"}
+
+
+def test_vector_index(spark, tmp_path):
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    for metric in vectors.METRICS:
+        index = search.VectorIndex.build(df, str(tmp_path / metric), "embedding", "vec_id", metric, cells=12)
+        assert index.rows().count() == df.count()
+        asked = df.where("vec_id % 100 = 0")
+        got = index.search_all(asked.select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector")), 10, probes=8).collect()
+        hit = total = 0
+        for q in asked.collect():
+            exact = {r["vec_id"] for r in search.nearest(df, "embedding", q["embedding"], 10, "vec_id", metric).collect()}
+            hit += len(exact & {r["vec_id"] for r in got if r["query"] == q["vec_id"]})
+            total += len(exact)
+            assert {r["vec_id"] for r in index.search(q["embedding"], 10, probes=12).collect()} == exact
+        assert hit / total >= 0.9, (metric, hit / total)
+    empty = search.VectorIndex.build(df.limit(0), str(tmp_path / "none"), "embedding", "vec_id")
+    assert empty.search([1.0] * 64, 3).count() == 0
+
+
+def test_spatial_cells(spark, tmp_path):
+    cells = [r[0] for r in spark.createDataFrame([(48.1, 11.5), (48.2, 11.6), (-48.0, 11.5), (90.0, 180.0), (-90.0, -180.0), (None, 1.0)], "a double, o double").select(geo.cell(F.col("a"), F.col("o"))).collect()]
+    assert abs(cells[0] - cells[1]) < abs(cells[0] - cells[2]) and cells[3] == 2**32 - 1 and cells[4] == 0 and cells[5] is None
+    db = Database(spark, str(tmp_path / "db"))
+    c = db.create("p", "id", "id int, place struct<lat: double, lon: double>")
+    c.insert(spark.createDataFrame([(k, ((k * 37 % 180) - 90.0, (k * 91 % 360) - 180.0)) for k in range(500)], c.frame().schema))
+    before = sorted(ids(c.near("place", (10, 20), 3000, exact=True)))
+    c.create_index("by_place", "place", kind="spatial")
+    assert sorted(ids(c.near("place", (10, 20), 3000, exact=True))) == before and len(before) > 3
+    places = [geo_cell["c"] for geo_cell in c.frame().select(geo.cell(F.col("place.lat"), F.col("place.lon")).alias("c")).collect()]
+    assert sum(a <= b for a, b in zip(places, places[1:])) > 490
+
+
+def test_bson_streams(spark, tmp_path):
+    import decimal
+
+    schema = "id int, big bigint, x double, d decimal(12,3), s string, b binary, f boolean, day date, at timestamp, l array<int>, o struct<k: string, n: int>"
+    rows = [(1, 1 << 40, 1.5, decimal.Decimal("-12.345"), "é", b"\0x", True, dt.date(2024, 2, 29), dt.datetime(2024, 1, 1, 5), [1, 2], ("k", 3)), (2, *[None] * 10)]
+    df = spark.createDataFrame(rows, schema)
+    files.write_bson(df, str(tmp_path / "out"))
+    back = files.read_bson(spark, str(tmp_path / "out"), schema)
+    assert sorted(map(str, back.collect())) == sorted(map(str, df.collect()))
+    files.write_bson(df.limit(1), str(tmp_path / "out"), mode="overwrite")
+    assert files.read_bson(spark, str(tmp_path / "out")).count() == 1
+    assert files.unbson(files.bson({"a": {"b": [1, None, "x"]}})) == {"a": {"b": [1, None, "x"]}}
+    for form in ("json", "csv", "bson"):
+        files.export_subject({"t": (df.select("id", "s"), "id")}, 1, str(tmp_path / form), form)
+    assert files.read_json(spark, str(tmp_path / "json/t"), "id int, s string").first()["s"] == "é"
+    assert files.read_bson(spark, str(tmp_path / "bson/t"), "id int, s string").first()["id"] == 1
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv/t")).first()["s"] == "é"
+
+
+def test_converted_values(spark):
+    import enum
+
+    from quillstone.functions import predicates
+
+    class Role(enum.Enum):
+        USER, ADMIN = 1, 2
+
+    class Mail:
+        def __init__(self, text):
+            self.text = text
+
+    predicates.converts(Mail, lambda m: m.text.lower())
+    hour = 36_000_000_000
+    df = Relation(spark.createDataFrame([(1, 1, "a@b.c", 9 * hour), (2, 2, "x@y.z", 17 * hour), (3, None, None, None)], "id int, role int, mail string, opens bigint"), ("id",))
+    assert ids(df.where(field("role").eq(Role.ADMIN)).df) == [2] and ids(df.where(field("role").one_of([Role.USER, None])).df) == [1, 3]
+    assert ids(df.where(field("mail").eq(Mail("X@y.z"))).df) == [2]
+    assert ids(df.where(field("opens").lt(dt.time(12))).df) == [1] and ids(df.where(field("opens").ge(dt.timedelta(hours=17))).df) == [2]
+    assert ids(df.where(field("role").compare_to(Role.USER) > 0).df) == [2]
+
+
+def test_put_rows(few):
+    both = few.order_by("v").append((9, "z", 0)).prepend((8, "y", 100)).append((7, "x", 1))
+    assert ids(both.frame()) == [8, 2, 1, 4, 3, 9, 7] and both.frame().columns == ["id", "g", "v"]
+    assert both.last_or_none()["id"] == 7 and both.first()["id"] == 8 and ids(both.reverse().frame())[0] == 7
+
+
+def test_store_versions(spark, tmp_path):
+    s = keyvalue.Store(spark, str(tmp_path / "kv"))
+    s.load(spark.createDataFrame([(f"k{n}", str(n).encode()) for n in range(9)], "key string, value binary"), NOW)
+    s.set("k1", b"new", NOW)
+    assert s.get("k1", NOW) == b"new" and s.live(NOW).count() == 9
+    assert s._block() < s._block()
+    assert s.compact(NOW) == 1 and s._version() == 1 and s.live(NOW).count() == 9
+    s.delete("k2", NOW)
+    assert s.compact(NOW) == 2 and s.live(NOW).count() == 8
+    calls = []
+    s.fs.createNewFile(s._at("making/" + __import__("hashlib").sha256(b"slow").hexdigest()))  # somebody is making it
+    assert s.get_or_set("slow", lambda: calls.append(1) or b"v", NOW, patience_s=0.3) == b"v" and calls == [1]
+
+
+def test_near_vector_stands_alone():
+    from quillstone.plans import filters as f
+    from quillstone.plans.typed import nearest
+
+    near = {"v": {"$nearVector": {"$vector": [1.0], "$k": 2}}}
+    assert nearest(f.parse({"a": 1, **near})).k == 2 and nearest(f.parse({"a": 1})) is None
+    for bad in ({"$or": [near, {"a": 1}]}, {"$nor": [near]}, {"$and": [near, near]}):
+        with pytest.raises(f.FilterError):
+            nearest(f.parse(bad))
+
+
+def test_no_folder_of_one_machine_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from quillstone.sources.shared import shared_root
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError):
+        shared_root(cluster)
