@@ -74,12 +74,12 @@ class VectorIndex:
         away = -(self.centres @ q) if self.metric == "dot" else ((self.centres - q) ** 2).sum(axis=1)
         return [int(c) for c in np.argsort(away, kind="stable")[:probes]]
 
-    def search(self, query: Sequence[float], k: int, probes: int = 8, name: str = "distance") -> DataFrame:
+    def search(self, query: Sequence[float], k: int, probes: int = 12, name: str = "distance") -> DataFrame:
         """The k nearest rows among those of the probed folders; other folders aren't read."""
         rows = self.rows().where(F.col(_CELL).isin(*self._probed(query, probes))) if len(self.centres) else self.rows()
         return nearest(rows, self.vector, query, k, self.key, self.metric, name).drop(_CELL)
 
-    def search_all(self, queries: DataFrame, k: int, probes: int = 8, query_key: str = "query", query_vector: str = "vector") -> DataFrame:
+    def search_all(self, queries: DataFrame, k: int, probes: int = 12, query_key: str = "query", query_vector: str = "vector") -> DataFrame:
         """query_key, key and distance of the k nearest rows of each query, by a join on the folders that it probes."""
         centres = self.centres.tolist()
         apart = _distances(_unit(F.col(query_vector), self.metric), centres, self.metric)

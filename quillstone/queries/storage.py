@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.functions.predicates import field
-from quillstone.operators import keyvalue, metrics, privacy, retention, search
+from quillstone.operators import encryption, keyvalue, metrics, privacy, retention, search
 from quillstone.plans.query import DocQuery
 from quillstone.queries.common import Query, table
 from quillstone.queries.filters import _PLACES, away, places
@@ -332,10 +332,29 @@ def vector_index_exact(spark: SparkSession, d: str) -> DataFrame:
 
 @register("vector_index_recall", "SELECT true AS enough, count(*) AS queries FROM embeddings WHERE vec_id % 100 = 0")
 def vector_index_recall(spark: SparkSession, d: str) -> DataFrame:
-    """Whether half of the cells give 0.9 or more of the ten nearest of every hundredth vector."""
+    """Whether twelve of sixteen cells give 0.9 or more of the ten nearest of every hundredth vector."""
     asked = table(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
     index = _index(spark, d)
     exact = index.search_all(asked, 10, probes=16).select("query", F.col("vec_id").alias("near"))
     found = index.search_all(asked, 10).select(F.col("query").alias("of"), F.col("vec_id").alias("got"))
     both = exact.join(found, (F.col("query") == F.col("of")) & (F.col("near") == F.col("got")), "left")
     return both.agg((F.count("got") >= 0.9 * F.count("near")).alias("enough"), F.countDistinct("query").alias("queries"))
+
+
+@register("sealed_rows", "SELECT c_custkey, c_name, c_acctbal, c_nationkey FROM customer WHERE c_nationkey < 5")
+def sealed_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Written encrypted but for the column that is searched by, read and opened."""
+    key = encryption.expand(encryption.key_of("a password", b"salt of this query", 1000), b"customer")
+    rows, path = table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal", "c_nationkey"), fresh(spark, "sealed")
+    encryption.seal(rows, key, "customer", ["c_nationkey"]).write.parquet(path)
+    return encryption.unseal(spark.read.parquet(path).where("c_nationkey < 5"), key, "customer", "c_custkey long, c_name string, c_acctbal double")
+
+
+@register("temporary_database", "SELECT count(*) AS n, false AS there FROM nation")
+def temporary_database(spark: SparkSession, d: str) -> DataFrame:
+    """A database for the time of a block."""
+    with Database.temporary(spark) as db:
+        own = db.create("nation", "n_nationkey", table(spark, d, "nation").schema)
+        own.insert(table(spark, d, "nation"))
+        n = own.count()
+    return spark.createDataFrame([(n, bool(db.collections()))], "n long, there boolean")

@@ -35,7 +35,7 @@ from quillstone.operators.relation import Relation
 from quillstone.plans import filters as f
 from quillstone.plans.access import Cursor, IndexPlan, plan_of
 from quillstone.plans.query import DocQuery
-from quillstone.sources.shared import kept
+from quillstone.sources.shared import kept, shared_root
 
 
 class DuplicateKey(ValueError):
@@ -83,6 +83,21 @@ class Database:
         self.jvm = spark._jvm
         self.fs = self._path("").getFileSystem(spark._jsc.hadoopConfiguration())
 
+    @classmethod
+    def temporary(cls, spark: SparkSession, **options) -> Database:
+        """A database that lives until close(), or to the end of a with block; its rows are in the folder that all executors share."""
+        return cls(spark, f"{shared_root(spark)}/temporary-{uuid.uuid4().hex}", **options)
+
+    def close(self) -> None:
+        """Deletes the database."""
+        self.fs.delete(self._path(""), True)
+
+    def __enter__(self) -> Database:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
     def _path(self, name: str):
         return self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
 

@@ -446,3 +446,23 @@ def test_no_folder_of_one_machine_on_a_cluster(monkeypatch):
     cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
     with pytest.raises(RuntimeError):
         shared_root(cluster)
+
+
+def test_encryption(spark):
+    from quillstone.operators import encryption as e
+
+    # fixed values: test case 1 of RFC 5869, and a published one of PBKDF2
+    assert e.expand(bytes([0x0B] * 22), bytes(range(0xF0, 0xFA)), bytes(range(13)), 42).hex() == "3cb25f25faacd57a90434f64d0362f2a2d2d0a90cf1a5a4c5db02d56ecc4c5bf34007208d5b887185865"
+    assert e.key_of("password", b"salt", 1).hex() == "120fb6cffcf8b32c43e7225256c4f837a86548c92ccc35480805987cb70be17b"
+    df = spark.createDataFrame([(1, "é", None, [1, 2]), (2, "é", 2.5, None)], "id int, `a.b` string, x double, l array<int>")
+    key = e.expand(b"k" * 32, b"t")
+    sealed = e.seal(df, key, "t", ["id"])
+    rows = sealed.collect()
+    assert sealed.columns == ["id", "sealed"] and all("é".encode() not in bytes(r["sealed"]) for r in rows)
+    back = e.unseal(spark.createDataFrame(rows, sealed.schema), key, "t", "`a.b` string, x double, l array<int>")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+    for other, name in ((e.expand(b"k" * 32, b"u"), "t"), (key, "u")):
+        with pytest.raises(Exception, match="AES"):
+            e.unseal(spark.createDataFrame(rows, sealed.schema), other, name, "x double").collect()
+    with pytest.raises(ValueError):
+        e.seal(df, b"short", "t")
