@@ -64,7 +64,7 @@ MAY = {
     "joined": lambda t: F.rlike(t, F.lit(_DIGITS)),
     "loose": lambda t: F.rlike(t, F.lit(_DIGITS)),
     "written": lambda t: F.contains(t, F.lit("at)")) | F.contains(t, F.lit("at]")),
-    "token": lambda t: F.rlike(t, F.lit("[A-Za-z0-9_+/-]{16}")),
+    "token": lambda t: F.rlike(t, F.lit("[0-9][A-Za-z_+/-]|[A-Za-z_+/-][0-9]")),
 }
 #: Kinds that a generator's spans are proposed as.
 AS = {**{k: (k,) for k in KINDS}, "plain": ("card", "phone"), "joined": ("card", "phone"), "loose": ("card", "phone"), "written": ("email",), "token": ("secret",)}
@@ -114,9 +114,12 @@ def proposals(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     row (number of the document), id, source, kind, start, end, span, left, right, base.
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    docs = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), F.rlike(text, F.lit("[0-9]")).alias("has_digit"))
+    text = F.col("text")
 
     def found(name: str, pattern: str) -> Column:
-        spans = F.when(MAY[name](text), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+        may = MAY[name](text)
+        spans = F.when(may if name in ("email", "written") else F.col("has_digit") & may, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
         return F.struct(F.lit(name).alias("source"), spans.alias("spans"), F.when(F.size(spans) > 0, F.split(text, pattern)).alias("gaps"))
 
     lists = F.filter(F.array(*(found(n, p) for n, p in {**BASE, **WIDE}.items())), lambda x: F.size(x["spans"]) > 0)
@@ -134,7 +137,7 @@ def proposals(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             ),
         )
 
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.monotonically_increasing_id().alias("row"), lists.alias("lists"))
+    rows = docs.select("id", F.monotonically_increasing_id().alias("row"), lists.alias("lists"))
     rows = rows.select("id", "row", F.explode_outer(F.flatten(F.transform("lists", located))).alias("x")).select("id", "row", "x.*").repartition("row")
     upto = Window.partitionBy("row", "source").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ends = rows.withColumn("end", F.sum(F.col("gap") + F.length("span")).over(upto)).withColumn("start", F.col("end") - F.length("span"))
