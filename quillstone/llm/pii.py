@@ -404,12 +404,19 @@ def spans(docs: DataFrame, trees: Trees | None, id_col: str = "doc_id", text_col
     return out.select(F.col("id").alias(id_col), F.array_sort("base").alias("base"), F.array_sort(F.array_union("base", "added")).alias("all"))
 
 
-def redact(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "*") -> DataFrame:
-    """docs with the code points of all found spans replaced by `mask`; ids must be unique. Spans may overlap."""
-    whole = docs.select(whole_row(docs), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    chars = F.split(F.coalesce("text", F.lit("")), "")
-    covered = F.array_distinct(F.flatten(F.transform("all", lambda s: F.sequence(s["start"], s["end"] - 1))))
-    places = F.map_from_entries(F.transform(covered, lambda k: F.struct(k, F.lit(True))))
-    hidden = F.when(F.size("all") == 0, F.col("text")).otherwise(F.array_join(F.transform(chars, lambda c, k: F.when(F.coalesce(F.try_element_at(places, k.cast("long")), F.lit(False)), F.lit(mask)).otherwise(c)), ""))
-    joined = whole.join(found.select(F.col(f"`{id_col}`").alias("found_id"), "all"), F.col("id").eqNullSafe(F.col("found_id")))
-    return joined.select(F.col("row").withField(f"`{text_col}`", hidden).alias("row")).select("row.*")
+def redact(docs: DataFrame, trees: Trees | None, text_col: str = "text", mask: str = "*") -> DataFrame:
+    """docs with the code points of all spans replaced by `mask`, spans that overlap too; rows are told by a number, so ids don't matter."""
+    space = Workspace(docs.sparkSession, "redacted")
+    rows = space.keep(docs.select(whole_row(docs), F.col(f"`{text_col}`").alias("text"), F.monotonically_increasing_id().alias("number")), "rows")
+    found = spans(rows, trees, "number").select(F.col("number").alias("of"), F.array_sort(F.transform("all", lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end")))).alias("spans"))
+
+    def hide(done: Column, s: Column) -> Column:
+        """done: the text up to `at`, hidden."""
+        first = F.greatest(done["at"], s["start"])
+        clear = F.substring(F.col("text"), done["at"] + 1, first - done["at"])
+        return F.struct(F.concat(done["out"], clear, F.repeat(F.lit(mask), F.greatest(F.lit(0), s["end"] - first))).alias("out"), F.greatest(done["at"], s["end"]).alias("at"))
+
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+    hidden = F.aggregate("spans", start, hide, lambda done: F.concat(done["out"], F.substring(F.col("text"), done["at"] + 1, F.length("text"))))
+    joined = rows.join(found, F.col("number") == F.col("of"))
+    return joined.select(F.col("row").withField(f"`{text_col}`", F.when(F.size("spans") == 0, F.col("text")).otherwise(hidden)).alias("row")).select("row.*")

@@ -70,6 +70,32 @@ def test_nothing_to_learn(spark):
     assert language.identify(table(spark, []), language.Model.learn([], {}), ["doc_id"]).count() == 0
 
 
+def test_predictions_by_exact_sets(spark):
+    """Without filters: which language's own n-grams a text holds most of."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    learned = docs.where(~language.held_out())
+    model = language.learn(learned)
+    counts = {}
+    for r in learned.where("text IS NOT NULL AND lang IS NOT NULL").collect():
+        own = counts.setdefault(r["lang"], {})
+        for g in language.grams(r["text"]).tolist():
+            own[g] = own.get(g, 0) + 1
+    totals = {lang: sum(own.values()) for lang, own in counts.items()}
+    every = {}
+    for lang, own in counts.items():
+        for g, n in own.items():
+            every[g] = every.get(g, 0) + n / totals[lang]
+    held = {lang: {g for g, n in own.items() if n / totals[lang] >= max(language.LEAST_SHARE, language.LEAST_PART * every[g])} for lang, own in counts.items()}
+    same = total = 0
+    for r in docs.where("text IS NOT NULL").collect():
+        found = {lang: sum(g in own for g in language.grams(r["text"]).tolist()) for lang, own in held.items()}
+        best = sorted(found.values())[-2:]
+        if any(map(str.isalpha, r["text"])) and best[-1] > 1.1 * best[0] + 2:  # a clear winner
+            total += 1
+            same += model.predict(r["text"])[0] == max(found, key=found.get)
+    assert total > 50 and same == total
+
+
 def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.01"
     langs = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang").collect()}
