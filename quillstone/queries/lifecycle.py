@@ -195,7 +195,7 @@ def text_normalized(spark: SparkSession, d: str) -> DataFrame:
 @register("text_embedding", "SELECT p_partkey, concat_ws(',', 'p_name:' || trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')), 'p_brand:' || trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', ' ', 'g')), 'p_size:' || p_size) AS text FROM part")
 def text_embedding(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part")
-    return p.select("p_partkey", embedding_text({c: p[c] for c in ("p_name", "p_brand", "p_size")}, ascii_only=True).alias("text"))
+    return p.select("p_partkey", embedding_text({c: p[c] for c in ("p_name", "p_brand", "p_size")}).alias("text"))
 
 
 @register("text_source", "SELECT p_partkey, '[' || p_name || '] by ' || p_brand AS text FROM part")
