@@ -51,7 +51,7 @@ PARTS = ("rare", "frequent", "hot")
 #: Centres of the stars in each round before all remaining pairs are made; few while much is apart, more for stragglers.
 STARS = (2, 8, 32, 128)
 #: Shingles that a task holds before it packs them; shingles of a range of hashes, and of a task that counts ranges.
-HELD, RANGE, DEALT = 1_500_000, 1 << 20, 1 << 22
+HELD, RANGE, DEALT = 1_000_000, 1 << 20, 1 << 22
 #: Ways a hot list is dealt, and members of a block when all remaining pairs are made.
 SALTS, BLOCK = 8, 1024
 
