@@ -24,5 +24,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op3_exact_dedup": q_exact_dedup.ORACLE,
     "op6_golden_mix": q_mixing.oracle(),
+    "op9_ngram_jaccard": q_ngram_join.ORACLE,
     "op10_license_scan": q_licenses.oracle(),
 }

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillstone.llm import ngram_join, q_ngram_join, shingles
 from tests.llm.rows import ODD, table
+from tests.oracle import assert_same
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -158,6 +159,10 @@ def test_empty_and_null_ids(spark):
     assert {(r["doc_id"], r["n_shingles"]) for r in rows} == {(None, 1), (4, 0)}
 
 
+def test_query(spark, data):
+    assert_same(q_ngram_join.op9_ngram_jaccard(spark, data), q_ngram_join.ORACLE, data)
+
+
 def test_stage_on_odd_rows(spark):
     docs = table(spark, [*ODD, "a b", "a b", None], [*range(len(ODD)), None, 3, None])
     out = q_ngram_join.keep_representatives(spark, docs, "")
