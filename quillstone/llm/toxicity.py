@@ -68,6 +68,16 @@ class Rows:
     def __post_init__(self) -> None:
         self.row = np.repeat(np.arange(len(self.starts) - 1), np.diff(self.starts))
 
+    def some(self, rows: np.ndarray, words: list[int]) -> Rows:
+        """Some rows, over some words, which are numbered anew."""
+        local = np.full(self.width, -1)
+        local[words] = np.arange(len(words))
+        sizes = np.diff(self.starts)[rows]
+        at = np.repeat(self.starts[rows] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        columns, row = local[self.columns[at]], np.repeat(np.arange(len(rows)), sizes)
+        known = columns >= 0
+        return Rows(np.cumsum([0, *np.bincount(row[known], minlength=len(rows))]), columns[known], len(words))
+
     def times(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, w[self.columns], len(self.starts) - 1)
 
@@ -164,51 +174,49 @@ class Choice:
     tied: set[int]
 
 
-def fit_chain(choices: dict[frozenset[int], Choice], lists: list[list[int]], y: np.ndarray, fold: np.ndarray, without: frozenset[int] = frozenset()) -> list[np.ndarray]:
+Choices = dict[frozenset[int], Choice]
+
+
+def fit_chain(choices: Choices, held: Rows, y: np.ndarray, fold: np.ndarray, without: frozenset[int] = frozenset()) -> list[np.ndarray]:
     """Weights of each category's model over choices[without], fitted on the rows outside the folds `without`."""
     rows = np.flatnonzero(~np.isin(fold, list(without)))
+    parts = [(choices[without | {k}], rows[fold[rows] != k], rows[fold[rows] == k]) for k in sorted(set(fold[rows].tolist()))]
+    cut = [(choice, train, held.some(train, choice.words), test, held.some(test, choice.words)) for choice, train, test in parts]
+    whole = held.some(rows, choices[without].words)
     weights, probabilities = [], np.zeros((len(y), 0))
     for category in range(len(CATEGORIES)):
         out = np.zeros(len(y))
-        for k in sorted(set(fold[rows].tolist())):
-            test, train = rows[fold[rows] == k], rows[fold[rows] != k]
-            choice = choices[without | {k}]
-            w = _fit_category(category, choice, lists, y, probabilities, train) if len(train) else np.zeros(len(choice.words) + category + 1)
-            out[test] = _predict(w, choice, lists, probabilities, test)
-        weights.append(_fit_category(category, choices[without], lists, y, probabilities, rows))
+        for choice, train, x, test, x_test in cut:
+            if len(train):
+                w = fit_linear(x, probabilities[train], target(category, choice, held, y, train))
+                out[test] = predict(w, x_test, probabilities[test])
+        weights.append(fit_linear(whole, probabilities[rows], target(category, choices[without], held, y, rows)))
         probabilities = np.column_stack([probabilities, out])
     return weights
 
 
-def _own(choice: Choice, lists: list[list[int]], rows: np.ndarray) -> Rows:
-    number = {w: k for k, w in enumerate(choice.words)}
-    return Rows.of([[number[w] for w in lists[i] if w in number] for i in rows], len(number))
-
-
-def _fit_category(category: int, choice: Choice, lists: list[list[int]], y: np.ndarray, probabilities: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    least = (1, 2, 0)[category]  # tied words that a text of the category holds
-    target = np.array([y[i] * (len(choice.tied.intersection(lists[i])) >= least) for i in rows])
-    return fit_linear(_own(choice, lists, rows), probabilities[rows], target)
+def target(category: int, choice: Choice, held: Rows, y: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Which rows are of a category: flagged, with as many tied words as it asks for."""
+    least = (1, 2, 0)[category]
+    tied = held.some(rows, sorted(choice.tied))
+    return y[rows] * (np.diff(tied.starts) >= least)
 
 
-def _predict(w: np.ndarray, choice: Choice, lists: list[list[int]], probabilities: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    d = len(choice.words)
-    return sigmoid(_own(choice, lists, rows).times(w[:d]) + probabilities[rows] @ w[d:-1] + w[-1])
+def predict(w: np.ndarray, x: Rows, probabilities: np.ndarray) -> np.ndarray:
+    return sigmoid(x.times(w[: x.width]) + probabilities @ w[x.width : -1] + w[-1])
 
 
-def held_out(choices: dict[frozenset[int], Choice], lists: list[list[int]], y: np.ndarray, fold: np.ndarray) -> np.ndarray:
+def held_out(choices: Choices, held: Rows, y: np.ndarray, fold: np.ndarray) -> np.ndarray:
     """The last category's probability of each row, by a chain fitted without its fold."""
     p = np.zeros(len(y))
     for k in sorted(set(fold.tolist())):
         without, rows = frozenset({k}), np.flatnonzero(fold == k)
         if len(rows) == len(y):
             continue
-        probabilities = np.zeros((len(y), 0))
-        for w in fit_chain(choices, lists, y, fold, without):
-            own = np.zeros(len(y))
-            own[rows] = _predict(w, choices[without], lists, probabilities, rows)
-            probabilities = np.column_stack([probabilities, own])
-        p[rows] = probabilities[rows, -1]
+        x, own = held.some(rows, choices[without].words), np.zeros((len(rows), 0))
+        for w in fit_chain(choices, held, y, fold, without):
+            own = np.column_stack([own, predict(w, x, own)])
+        p[rows] = own[:, -1]
     return p
 
 
@@ -260,11 +268,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
     kinds = {f.name: f.dataType.simpleString() for f in listed.schema}
     data = listed.select("doc_id", "toxic", "fold", "words").mapInArrow(numbers, f"doc_id {kinds['doc_id']}, toxic int, fold int, columns array<int>").orderBy("doc_id").collect()
     space.drop("sample", "words", "counts")
-    lists, y, fold = [r["columns"] for r in data], np.array([float(r["toxic"]) for r in data]), np.array([r["fold"] for r in data])
+    held, y, fold = Rows.of([r["columns"] for r in data], len(number)), np.array([float(r["toxic"]) for r in data]), np.array([r["fold"] for r in data])
     choices = {without: Choice([number[w] for w in own], {number[w] for w in tied}) for without, (own, tied) in chosen.items()}
-    weights = fit_chain(choices, lists, y, fold)
+    weights = fit_chain(choices, held, y, fold)
     weight = np.where(y > 0, shares[1] / y.sum(), shares[0] / (len(y) - y.sum()))
-    return Chain({w: k for k, w in enumerate(chosen[frozenset()][0])}, weights, best_threshold(held_out(choices, lists, y, fold), y, weight))
+    return Chain({w: k for k, w in enumerate(chosen[frozenset()][0])}, weights, best_threshold(held_out(choices, held, y, fold), y, weight))
 
 
 def keep_clean(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:

@@ -59,7 +59,7 @@ def test_no_model_sees_the_labels_of_its_fold(spark):
     fold = np.array([rnd.randrange(toxicity.FOLDS) for _ in texts])
     held = [sorted(toxicity.words(t)) for t in texts]
     number = {w: k for k, w in enumerate(sorted({w for x in held for w in x}))}
-    lists = [[number[w] for w in x] for x in held]
+    rows = toxicity.Rows.of([[number[w] for w in x] for x in held], len(number))
 
     def chosen(y):
         by = {w: [0] * (2 * toxicity.FOLDS) for w in number}
@@ -76,7 +76,14 @@ def test_no_model_sees_the_labels_of_its_fold(spark):
     other = np.where(fold == 2, 1 - y, y)
     one, two = chosen(y), chosen(other)
     assert one[frozenset({2})] == two[frozenset({2})] and one[frozenset({1, 2})] == two[frozenset({1, 2})] and one[frozenset()] != two[frozenset()]
-    assert np.allclose(toxicity.held_out(one, lists, y, fold)[fold == 2], toxicity.held_out(two, lists, other, fold)[fold == 2])
+    assert np.allclose(toxicity.held_out(one, rows, y, fold)[fold == 2], toxicity.held_out(two, rows, other, fold)[fold == 2])
+
+
+def test_some_rows_and_words():
+    rows = toxicity.Rows.of([[0, 2], [], [1, 2, 3], [3]], 4)
+    own = rows.some(np.array([2, 3, 1]), [3, 1])
+    assert [own.columns[a:b].tolist() for a, b in zip(own.starts, own.starts[1:])] == [[1, 0], [0], []] and own.width == 2
+    assert np.diff(rows.some(np.array([0]), []).starts).tolist() == [0]
 
 
 def test_linear_model_fits_its_loss():
