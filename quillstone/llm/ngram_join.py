@@ -44,14 +44,16 @@ from quillstone.llm.shingles import SIZE, shingles
 
 NUMERATOR, DENOMINATOR = 3, 4  # similarity of 0.75
 FREQUENT = 8
-#: Most hot shingles; their table of 12 bytes each is broadcast.
-HOT = 1 << 20
+#: Most hot shingles; their table of 12 bytes each is broadcast. A chunk reports what is MANY / HOT of its shingles or more.
+HOT, MANY = 1 << 20, 4
 #: Fragments of a set along the global order.
 PARTS = ("rare", "frequent", "hot")
 #: Centres of the stars in each round before all remaining pairs are made; few while much is apart, more for stragglers.
 STARS = (2, 8, 32, 128)
 #: Shingles that a task holds before it packs them; shingles of a range of hashes, and of a task that counts ranges.
 HELD, RANGE, DEALT = 1_000_000, 1 << 20, 1 << 22
+#: Bytes of a shingle that are sent beside its range; counts above MOST_TIMES are one place of the order, where hashes decide.
+LOW, MOST_TIMES = 7, 65535
 #: Ways a hot list is dealt, and members of a block when all remaining pairs are made.
 SALTS, BLOCK = 8, 1024
 
@@ -92,7 +94,7 @@ def records(docs: DataFrame, size: int) -> DataFrame:
 
         def many() -> pa.RecordBatch:
             keys, n = np.unique(np.concatenate(held), return_counts=True)
-            often = n >= max(2, ceil(2 * total / HOT))
+            often = n >= max(2, ceil(MANY * total / HOT))
             return batch_of(None, None, None, None, keys[often].view(np.int64), n[often])
 
         for batch in batches:
@@ -153,7 +155,7 @@ def sets_of(docs: DataFrame, hot: Hot, renamed: frozenset[int], total: int, size
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(hot)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(total / DEALT))
-    bits = max(ceil(log2(parts)) + 2, ceil(log2(max(1, total / RANGE))))
+    bits = max(8, ceil(log2(parts)) + 2, ceil(log2(max(1, total / RANGE))))  # 8: so a range and the low LOW bytes make a key
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Shingles by range of hashes, with the number in its chunk of the class that has them; and a row of classes for each chunk."""
@@ -167,16 +169,17 @@ def sets_of(docs: DataFrame, hot: Hot, renamed: frozenset[int], total: int, size
             refs = np.repeat(np.arange(len(held), dtype=np.uint16), [len(x[2]) for x in held])
             order = np.argsort(keys)
             keys, refs = keys[order], refs[order]
-            edges = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-            used = np.flatnonzero(np.diff(edges))
+            ranges = keys >> np.uint64(64 - bits)
+            edges = np.flatnonzero(np.concatenate(([True], ranges[1:] != ranges[:-1], [True]))) if len(keys) else np.zeros(1, np.int64)
+            used = ranges[edges[:-1]].astype(np.int64)
             chunk = (task << 32) + chunks
             classes = np.array([[x[0] for x in held], [x[1] for x in held], [len(x[3]) for x in held]], np.int64)
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([*used, chunk % (1 << bits)], pa.int32()),
                     pa.array([chunk] * (len(used) + 1), pa.int64()),
-                    pa.array([*(keys[edges[f] : edges[f + 1]].tobytes() for f in used), np.concatenate([x[3] for x in held]).tobytes()], pa.binary()),
-                    pa.array([*(refs[edges[f] : edges[f + 1]].tobytes() for f in used), None], pa.binary()),
+                    pa.array([*(_low(keys[a:b]) for a, b in zip(edges, edges[1:])), np.concatenate([x[3] for x in held]).tobytes()], pa.binary()),
+                    pa.array([*(refs[a:b].tobytes() for a, b in zip(edges, edges[1:])), None], pa.binary()),
                     pa.array([*([None] * len(used)), classes.tobytes()], pa.binary()),
                 ],
                 names=["range", "chunk", "keys", "refs", "classes"],
@@ -202,11 +205,11 @@ def sets_of(docs: DataFrame, hot: Hot, renamed: frozenset[int], total: int, size
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Per range: the shingles that are held twice or more, with their counts, back to their chunks."""
-        for _, rows in _groups(batches):
+        for of, rows in _groups(batches):
             given = [r for r in rows if r["classes"] is None]
             out = [(r["chunk"], r["keys"], None, None, r["classes"]) for r in rows if r["classes"] is not None]
             if given:
-                own = [np.frombuffer(r["keys"], np.uint64) for r in given]
+                own = [_whole(r["keys"], of, bits) for r in given]
                 keys = np.concatenate(own)
                 order = np.argsort(keys, kind="stable")
                 edges = np.flatnonzero(np.concatenate(([True], keys[order][1:] != keys[order][:-1], [True])))
@@ -217,7 +220,7 @@ def sets_of(docs: DataFrame, hot: Hot, renamed: frozenset[int], total: int, size
                     times = n[at : at + len(k)]
                     at += len(k)
                     if (more := times > 1).any():
-                        out.append((r["chunk"], k[more].tobytes(), np.frombuffer(r["refs"], np.uint16)[more].tobytes(), times[more].tobytes(), None))
+                        out.append((r["chunk"], k[more].tobytes(), np.frombuffer(r["refs"], np.uint16)[more].tobytes(), np.minimum(times[more], MOST_TIMES).astype(np.uint16).tobytes(), None))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), *[pa.binary()] * 4))], names=["chunk", "keys", "refs", "times", "classes"])
 
@@ -228,7 +231,7 @@ def sets_of(docs: DataFrame, hot: Hot, renamed: frozenset[int], total: int, size
             cid, n, hots = np.frombuffer(base["classes"], np.int64).reshape(3, -1)
             hot_keys, hot_at = np.frombuffer(base["keys"], np.int64), np.concatenate(([0], np.cumsum(hots)))
             given = [r for r in rows if r["classes"] is None]
-            keys, refs, times = (np.concatenate([np.frombuffer(r[name], kind) for r in given] or [np.zeros(0, kind)]) for name, kind in (("keys", np.uint64), ("refs", np.uint16), ("times", np.uint32)))
+            keys, refs, times = (np.concatenate([np.frombuffer(r[name], kind) for r in given] or [np.zeros(0, kind)]) for name, kind in (("keys", np.uint64), ("refs", np.uint16), ("times", np.uint16)))
             order = np.lexsort((keys, times, refs))
             keys, refs, times = keys[order].view(np.int64), refs[order], times[order]
             edges = np.searchsorted(refs, np.arange(len(cid) + 1))
@@ -249,6 +252,17 @@ def sets_of(docs: DataFrame, hot: Hot, renamed: frozenset[int], total: int, size
     return gathered.dropDuplicates(["cid"])  # a class may be in several chunks
 
 
+def _low(keys: np.ndarray) -> bytes:
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :LOW]).tobytes()
+
+
+def _whole(low: bytes, of: int, bits: int) -> np.ndarray:
+    """Keys from their low bytes and their range."""
+    parts = np.zeros((len(low) // LOW, 8), np.uint8)
+    parts[:, :LOW] = np.frombuffer(low, np.uint8).reshape(-1, LOW)
+    return parts.reshape(-1).view("<u8") | np.uint64(of << (64 - bits))
+
+
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
     """Runs of rows with the same first column, of batches sorted by it; one run is held at a time."""
     key, rows = None, []
@@ -410,13 +424,14 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
 
         contracted = linked.join(label_of("a"), "a", "left").join(label_of("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where("a <> b").distinct()
         merged = components(contracted, space, f"graph-{k}").select(F.col("cid").alias("of"), F.col("label").alias("to"))
-        moved = labels.join(merged, F.col("label") == F.col("of"), "full").select(F.coalesce("cid", "of").alias("cid"), F.coalesce("to", "label").alias("label"))
+        moved = labels.join(merged, F.col("label") == F.col("of"), "left").select("cid", F.coalesce("to", "label").alias("label"))
         # a label that is a vertex of the contracted graph stands for itself too
         labels = space.keep(moved.unionByName(merged.select(F.col("of").alias("cid"), F.col("to").alias("label"))).groupBy("cid").agg(F.min("label").alias("label")), f"labels-{k}")
     space.drop("sets", "lists", "rare")
     classes = rows.where("cid IS NOT NULL AND id IS NOT NULL").groupBy("cid").agg(F.min("id").alias("id"))
-    named = classes.join(labels, "cid", "left").select("cid", "id", F.coalesce("label", "cid").alias("label"))
-    least = named.groupBy("label").agg(F.min("id").alias("component_id"))
+    # written before they meet: a join of plain shuffles is one that adaptive execution splits where a component is large
+    named = space.keep(classes.join(labels, "cid", "left").select("cid", "id", F.coalesce("label", "cid").alias("label")), "named")
+    least = space.keep(named.groupBy("label").agg(F.min("id").alias("component_id")), "least")
     by_class = space.keep(named.join(least, "label").select("cid", "component_id"), "by-class")
     out = rows.select("id", "n", "cid").join(by_class, "cid", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
