@@ -26,6 +26,15 @@ def whole_row(df: DataFrame, name: str = "row") -> Column:
     return F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in df.columns)).alias(name)
 
 
+#: Rows of keys that may be broadcast: ids or places, of 16 bytes or a file name each. Beyond it they are shuffled.
+BROADCAST_ROWS = 200_000
+
+
+def bounded(keys: DataFrame) -> DataFrame:
+    """keys (a written table), marked for broadcast if they are few."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+
 #: Bytes of input up to which spread() deals rows anew.
 SMALL = 256 << 20
 

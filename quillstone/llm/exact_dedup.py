@@ -24,7 +24,7 @@ from urllib.parse import unquote
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import Workspace, lower_ascii, whole_row
+from quillstone.llm.common import Workspace, bounded, lower_ascii, whole_row
 
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -33,8 +33,6 @@ STATE = {
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
 }
-#: Rows whose places may be broadcast (16 bytes each for the check, a file name more for what goes); beyond, they are shuffled.
-BROADCAST_PLACES = 200_000
 
 
 def sha256(text: Column) -> Column:
@@ -55,11 +53,6 @@ def scanned(docs: DataFrame, space: Workspace, name: str) -> DataFrame:
     return docs if docs._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation" and docs.inputFiles()[0].endswith(".parquet") else space.keep(docs, name)
 
 
-def bounded(rows: DataFrame) -> DataFrame:
-    """rows, marked for broadcast if they are few."""
-    return F.broadcast(rows) if rows.count() <= BROADCAST_PLACES else rows
-
-
 class Seen:
     """The documents seen so far, in a workspace that outlives the session."""
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.llm import ngram_join
-from quillstone.llm.common import LOWER, UPPER, read, whole_row
+from quillstone.llm.common import LOWER, UPPER, Workspace, bounded, read, whole_row
 from quillstone.llm.shingles import SIZE
 
 
@@ -16,9 +16,10 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_representatives(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs with one document of each group, the one with the smallest id; rows that share an id stay or go together, null ids stay."""
-    stay = ngram_join.join(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("stays"))
+    joined = ngram_join.join(docs).where("NOT doc_id <=> component_id").select(F.col("doc_id").alias("goes")).distinct()
+    gone = bounded(Workspace(spark, "near-dedup").keep(joined, "gone"))
     whole = docs.select(whole_row(docs), F.col("doc_id").alias("id"))
-    return whole.join(stay, F.col("id").eqNullSafe(F.col("stays")), "left_semi").select("row.*")
+    return whole.join(gone, F.col("id") == F.col("goes"), "left_anti").select("row.*")
 
 
 #: DuckDB SQL: all pairs that share a shingle, of one document of each set; it suits small tables only.

@@ -4,7 +4,7 @@ import collections
 
 from pyspark.sql import functions as F
 
-from quillstone.llm import exact_dedup, q_exact_dedup
+from quillstone.llm import common, exact_dedup, q_exact_dedup
 from tests.llm.rows import ODD, table
 from tests.oracle import assert_same
 
@@ -74,7 +74,7 @@ def test_the_check_reads_files_with_hits_only(spark, tmp_path):
 
 
 def test_many_places_are_shuffled(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(exact_dedup, "BROADCAST_PLACES", 1)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 1)
     df = written(spark, tmp_path, "first", ["x", "X", "y", None, "", "y"], [1, 2, 3, 4, 5, 3])
     assert sorted(r["doc_id"] for r in exact_dedup.deduplicate(df).collect()) == [2, 3, 5]
 
