@@ -51,7 +51,7 @@ PARTS = ("rare", "frequent", "hot")
 #: Centres of the stars in each round before all remaining pairs are made; few while much is apart, more for stragglers.
 STARS = (2, 8, 32, 128)
 #: Shingles that a task holds before it packs them; shingles of a range of hashes, and of a task that counts ranges.
-HELD, RANGE, DEALT = 1_000_000, 1 << 20, 1 << 22
+HELD, RANGE, DEALT = 1_000_000, 1 << 20, 1 << 20
 #: Bytes of a shingle that are sent beside its range; counts above MOST_TIMES are one place of the order, where hashes decide.
 LOW, MOST_TIMES = 7, 65535
 #: Ways a hot list is dealt, and members of a block when all remaining pairs are made.
@@ -176,7 +176,7 @@ def sets_of(docs: DataFrame, hot: Hot, renamed: frozenset[int], total: int, size
             classes = np.array([[x[0] for x in held], [x[1] for x in held], [len(x[3]) for x in held]], np.int64)
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array([*used, chunk % (1 << bits)], pa.int32()),
+                    pa.array([*used, (task * 0x9E3779B1 + chunks * 0x85EBCA77) % (1 << bits)], pa.int32()),  # the row of classes goes anywhere
                     pa.array([chunk] * (len(used) + 1), pa.int64()),
                     pa.array([*(_low(keys[a:b]) for a, b in zip(edges, edges[1:])), np.concatenate([x[3] for x in held]).tobytes()], pa.binary()),
                     pa.array([*(refs[a:b].tobytes() for a, b in zip(edges, edges[1:])), None], pa.binary()),
