@@ -53,6 +53,10 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in paths) <= SMALL else df
 
 
+#: Of small tables of narrow rows: a file a task would be many tiny ones.
+ROWS_A_FILE = 100_000
+
+
 class Workspace:
     """Written tables in the shared folder. Cuts lineage so that a lost executor costs one stage, not the whole job."""
 
@@ -62,7 +66,9 @@ class Workspace:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """df, written and read again; where it is known to have `rows` rows at most, in files of ROWS_A_FILE or so."""
+        df = df if rows is None else df.coalesce(1 + rows // ROWS_A_FILE)
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.parquet(self.path(name))
 

@@ -366,15 +366,16 @@ def components(edges: DataFrame, space: Workspace, name: str) -> DataFrame:
 
     Labels only fall, so the rounds end; taking the label of the label halves the way to the least each time.
     """
-    both = space.keep(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-edges")
-    labels = space.keep(both.groupBy(F.col("a").alias("cid")).agg(F.least(F.min("b"), F.first("a")).alias("label")), f"{name}-0")
+    size = edges.count()
+    both = space.keep(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-edges", 2 * size)
+    labels = space.keep(both.groupBy(F.col("a").alias("cid")).agg(F.least(F.min("b"), F.first("a")).alias("label")), f"{name}-0", 2 * size)
     k = 0
     while True:
         k += 1
         near = both.join(labels.select(F.col("cid").alias("b"), "label"), "b").groupBy(F.col("a").alias("cid")).agg(F.min("label").alias("near"))
         lower = labels.join(near, "cid").select("cid", F.least("label", "near").alias("label"), F.col("label").alias("old"))
         jumped = lower.join(labels.select(F.col("cid").alias("of"), F.col("label").alias("far")), F.col("label") == F.col("of")).select("cid", F.least("label", "far").alias("label"), "old")
-        new = space.keep(jumped, f"{name}-{k}")
+        new = space.keep(jumped, f"{name}-{k}", 2 * size)
         space.drop(f"{name}-{k - 1}")
         labels = new.select("cid", "label")
         if new.where("label <> old").isEmpty():
@@ -388,7 +389,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     found = space.keep(records(docs, size), "records")
     rows = found.where("n IS NOT NULL").select("id", "n", "cid", "check")
-    total = rows.agg(F.sum("n")).first()[0] or 0
+    total, documents = rows.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     hot = hot_shingles(found, total)
     # first hashes of different sets: about 3 among 10^10 documents
     renamed = frozenset(r["cid"] for r in rows.where("cid IS NOT NULL").groupBy("cid").agg(F.min("check").alias("low"), F.max("check").alias("high")).where("low <> high").select("cid").collect())
@@ -398,25 +399,27 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     _tidy(docs)
     rare, lists = space.keep(rare_pairs(sets), "rare"), space.keep(lists_of(sets), "lists")
 
-    labels = None
+    labels, members, labelled = None, lists.count(), 0
     for k in range(len(STARS) + 1):
         if labels is None:
             named = lists.withColumn("label", F.col("x.cid"))
         else:
             named = lists.join(labels.withColumnRenamed("cid", "of"), F.col("x.cid") == F.col("of"), "left").select("token", "x", "hot", F.coalesce("label", "x.cid").alias("label"))
-            named = space.keep(open_lists(named), f"open-{k}")
+            named = space.keep(open_lists(named), f"open-{k}", members)
+            members = named.count()
             if named.isEmpty():
                 break
         made = stars(named, STARS[k], k) if k < len(STARS) else across(named)
         pairs = space.keep(made.unionByName(rare).distinct() if k == 0 else made, f"pairs-{k}")
-        linked = space.keep(links(pairs, sets), f"links-{k}")
+        linked = space.keep(links(pairs, sets), f"links-{k}", pairs.count())
+        labelled += 2 * linked.count()
         space.drop(f"pairs-{k}")
         if linked.isEmpty():
             if labels is None:
                 labels = linked.select(F.col("a").alias("cid"), F.col("a").alias("label"))
             continue
         if labels is None:
-            labels = space.keep(components(linked, space, f"graph-{k}"), f"labels-{k}")
+            labels = space.keep(components(linked, space, f"graph-{k}"), f"labels-{k}", labelled)
             continue
 
         def label_of(side: str) -> DataFrame:
@@ -426,12 +429,12 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
         merged = components(contracted, space, f"graph-{k}").select(F.col("cid").alias("of"), F.col("label").alias("to"))
         moved = labels.join(merged, F.col("label") == F.col("of"), "left").select("cid", F.coalesce("to", "label").alias("label"))
         # a label that is a vertex of the contracted graph stands for itself too
-        labels = space.keep(moved.unionByName(merged.select(F.col("of").alias("cid"), F.col("to").alias("label"))).groupBy("cid").agg(F.min("label").alias("label")), f"labels-{k}")
+        labels = space.keep(moved.unionByName(merged.select(F.col("of").alias("cid"), F.col("to").alias("label"))).groupBy("cid").agg(F.min("label").alias("label")), f"labels-{k}", labelled)
     space.drop("sets", "lists", "rare")
     classes = rows.where("cid IS NOT NULL AND id IS NOT NULL").groupBy("cid").agg(F.min("id").alias("id"))
     # written before they meet: a join of plain shuffles is one that adaptive execution splits where a component is large
-    named = space.keep(classes.join(labels, "cid", "left").select("cid", "id", F.coalesce("label", "cid").alias("label")), "named")
-    least = space.keep(named.groupBy("label").agg(F.min("id").alias("component_id")), "least")
-    by_class = space.keep(named.join(least, "label").select("cid", "component_id"), "by-class")
+    named = space.keep(classes.join(labels, "cid", "left").select("cid", "id", F.coalesce("label", "cid").alias("label")), "named", documents)
+    least = space.keep(named.groupBy("label").agg(F.min("id").alias("component_id")), "least", documents)
+    by_class = space.keep(named.join(least, "label").select("cid", "component_id"), "by-class", documents)
     out = rows.select("id", "n", "cid").join(by_class, "cid", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
