@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 import re
 import unicodedata
 
@@ -11,6 +12,7 @@ from quillstone.functions import geo, text, vectors
 from quillstone.functions.predicates import field
 from quillstone.operators import changes, keyvalue, metrics, privacy, retention, search
 from quillstone.operators.relation import Relation
+from quillstone.queries import ALL
 from quillstone.sources import files
 from quillstone.sources.catalog import Database, DuplicateKey
 from quillstone.streaming import watch
@@ -354,6 +356,53 @@ def test_vector_index(spark, tmp_path):
     assert empty.search([1.0] * 64, 3).count() == 0
 
 
+@pytest.mark.parametrize("metric", vectors.METRICS)
+def test_vector_index_blocks(spark, tmp_path, monkeypatch, metric):
+    """Blocks of rows and queries meet, never single rows in a join; distances and ties are those of the plain search."""
+    monkeypatch.setattr(search, "BLOCK", 64 * 20)
+    monkeypatch.setattr(search, "PAIRS", 50)
+    some = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").where("vec_id < 150").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    copies = some.where("vec_id < 3").crossJoin(spark.range(1, 20)).select((F.col("vec_id") + 1000 * F.col("id")).alias("vec_id"), "v")
+    odd = some.where("vec_id < 5").select((F.col("vec_id") + 50_000).alias("vec_id"), F.transform("v", lambda x: x * F.when(F.col("vec_id") == 4, 0.0).otherwise(3.0)).alias("v"))
+    huge = some.where("vec_id = 7").select(F.lit(60_000).cast("long").alias("vec_id"), F.transform("v", lambda x: x * 1e160).alias("v"))
+    none = some.where("vec_id = 0").select(F.lit(70_000).cast("long").alias("vec_id"), F.lit(None).cast("array<double>").alias("v"))
+    for name, df in (("tame", some.union(copies).union(odd).union(none)), ("wild", some.union(copies).union(odd).union(huge))):
+        df = df.repartition(3).localCheckpoint()
+        index = search.VectorIndex.build(df, str(tmp_path / name), "v", "vec_id", metric, cells=3)
+        asked = df.where("vec_id % 10 = 0 OR vec_id > 40000").select(F.col("vec_id").alias("query"), F.col("v").alias("vector"))
+        pairs = asked.crossJoin(df.where("v IS NOT NULL")).select("query", "vec_id", F.when(F.col("vector").isNotNull(), vectors.distance(F.col("v"), F.col("vector"), metric)).alias("distance")).collect()
+        for k in (4, 500):
+            found = index.search_all(asked, k, probes=3)
+            want: dict = {}
+            for r in sorted(pairs, key=lambda r: (math.isnan(d := r["distance"] or 0), 0 if math.isnan(d) else d, r["vec_id"])):
+                want.setdefault(r["query"], []).append((r["query"], r["vec_id"], str(r["distance"] or 0.0)))
+            assert sorted((r["query"], r["vec_id"], str(r["distance"] or 0.0)) for r in found.collect()) == sorted(x for rows in want.values() for x in rows[:k]), (name, k)
+            assert {r["query"] for r in found.where("distance IS NULL").collect()} == ({70_000} if name == "tame" else set())
+        plan = found._jdf.queryExecution().toString()
+        assert "CoGroup" in plan and "HashJoin" not in plan and "SortMergeJoin" not in plan
+
+
+def test_vector_index_refuses_other_lengths(spark, tmp_path):
+    """Such rows were kept in no folder that a search reads."""
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0])], "id int, v array<double>")
+    with pytest.raises(Exception, match="different lengths|requirement failed"):
+        search.VectorIndex.build(df, str(tmp_path / "a"), "v", "id", cells=2)
+    index = search.VectorIndex.build(df.where("id < 3"), str(tmp_path / "b"), "v", "id", cells=2)
+    with pytest.raises(Exception, match="different lengths"):
+        index.search_all(df.select(F.col("id").alias("query"), F.col("v").alias("vector")), 1, probes=2).collect()
+    assert index.search_all(df.where("id < 3").select(F.col("id").alias("query"), F.col("v").alias("vector")), 0, probes=2).count() == 0
+    empty = search.VectorIndex.build(df.limit(0), str(tmp_path / "none"), "v", "id")
+    assert empty.search_all(df.select(F.col("id").alias("query"), F.col("v").alias("vector")), 3).count() == 0
+
+
+def test_vector_index_counts_queries_without_vector(spark, data, tmp_path):
+    rows = spark.read.parquet(f"{data}/embeddings.parquet")
+    rows.withColumn("embedding", F.when(F.col("vec_id") != 100, F.col("embedding"))).write.parquet(f"{tmp_path}/embeddings.parquet")
+    query, _ = ALL["vector_index_recall"]
+    got = query(spark, str(tmp_path)).first()
+    assert (got["enough"], got["queries"]) == (True, 5)
+
+
 def test_spatial_cells(spark, tmp_path):
     cells = [r[0] for r in spark.createDataFrame([(48.1, 11.5), (48.2, 11.6), (-48.0, 11.5), (90.0, 180.0), (-90.0, -180.0), (None, 1.0)], "a double, o double").select(geo.cell(F.col("a"), F.col("o"))).collect()]
     assert abs(cells[0] - cells[1]) < abs(cells[0] - cells[2]) and cells[3] == 2**32 - 1 and cells[4] == 0 and cells[5] is None
